@@ -114,7 +114,7 @@ class Words:
         body = texts.buffers()[2]
         data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
-        self.data = data
+        self.data, self.bounds = data, offsets
         inside = ~_SEPARATOR[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
