@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -100,7 +102,8 @@ def scan_history(versions: DataFrame, path: str, content: str, ledger: DataFrame
     picked = unseen.select(F.col("path").alias("p"), F.col("blob").alias("b"))
     blobs = rows.join(picked, rows["path"].eqNullSafe(picked["p"]) & (rows["blob"] == picked["b"]), "left_semi").select("blob", "content")
     flat = [F.struct(F.lit(r.key).alias("rule"), spans_of(F.col("content"), r, i).alias("spans")) for i, r in enumerate(rules)]
-    done = blobs.select("blob", F.array(*flat).alias("found")).dropDuplicates(["blob"])
+    # Written, as a ledger is: each blob is scanned once, and the join to the paths gets plain exchanges, whose hot blobs Spark can split.
+    done = cut(blobs.select("blob", F.array(*flat).alias("found")).dropDuplicates(["blob"]))
     if wanted is not None:
         done = done.join(wanted, "blob").select("blob", F.filter("found", lambda x: ~F.array_contains(F.col("known"), x["rule"])).alias("found"))
     fresh = done.select("blob", F.explode("found").alias("x")).select("blob", "x.rule", "x.spans")
