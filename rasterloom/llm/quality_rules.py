@@ -4,8 +4,8 @@ Each rule compares a ratio of text counts with a cutoff. Cutoffs come from label
 and a rule they are tested from the loosest to the tightest, each against the hypothesis that it rejects more than
 risk / rules of the good documents, by the exact binomial tail (the Clopper-Pearson bound). Testing stops at the first
 cutoff that is not certified, so the order spends no error; over strata and rules the error is divided (Bonferroni).
-With confidence 1 - error, the rules together reject at most `risk` of the good documents of every stratum. Of the
-certified cutoffs the loosest is taken that rejects as many bad labelled documents as any. A stratum with too few good
+With confidence 1 - error, the rules together reject at most `risk` of the good documents of every stratum. Among the
+certified cutoffs rules are added one by one, each for the bad labelled documents that it catches beyond the rules before it. A stratum with too few good
 labels to certify anything rejects nothing beyond the base rule.
 
 Defined results: null text has no words and fails the base rule; a null language is a stratum of its own; labels that are null or contradict each other
@@ -104,51 +104,76 @@ def tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def select_cutoffs(counts: dict[tuple[str, str, int, int], int], risk: float = RISK, error: float = ERROR) -> dict[str, dict[str, int]]:
-    """Cutoffs by stratum and rule from counts by (stratum, rule, cutoffs exceeded, label).
+Counts = dict[tuple[str, str, int, int], int]
 
-    risk is shared out over the rules, error over strata and rules.
+
+def strata_and_level(good: dict[str, int], risk: float = RISK, error: float = ERROR) -> tuple[list[str], float]:
+    """The strata with enough good labels to certify anything, and the error of one (stratum, rule).
+
+    Which strata take part depends on how many good labels they have, not on what the rules do to them.
     """
     each = risk / len(RULES)
-    good: dict[str, int] = {}
-    for (stratum, rule, _, label), n in counts.items():
-        if label and rule == next(iter(RULES)):
-            good[stratum] = good.get(stratum, 0) + n
-    # Which strata take part depends on how many good labels they have, not on what the rules do to them.
     for m in range(len(good), 0, -1):
-        part = {s for s, n in good.items() if (1 - each) ** n <= error / (m * len(RULES))}
+        part = [s for s, n in sorted(good.items()) if (1 - each) ** n <= error / (m * len(RULES))]
         if len(part) >= m:
+            return part, error / (len(part) * len(RULES))
+    return [], 0.0
+
+
+def certified(counts: Counts, stratum: str, rule: str, n_good: int, level: float, risk: float = RISK) -> list[tuple[int, int, int]]:
+    """(cutoff, bad documents caught, good ones rejected) of the certified cutoffs, loosest first. x of counts is how many cutoffs are exceeded."""
+    each, grid, out = risk / len(RULES), RULES[rule][2], []
+    own = [(x, y, n) for (s, r, x, y), n in counts.items() if s == stratum and r == rule]
+    for j, cutoff in enumerate(grid):
+        # Whoever exceeds a cutoff exceeds all tighter ones, so x counts from the tight end.
+        bad, good = (sum(n for x, y, n in own if x >= len(grid) - j and y == label) for label in (0, 1))
+        if good >= each * n_good or tail(good, n_good, each) > level:
             break
-    else:
-        part = set()
-    level = error / (max(1, len(part)) * len(RULES))
-    chosen: dict[str, dict[str, int]] = {}
-    for stratum in sorted(part):
-        for rule, (_, _, grid) in RULES.items():
-            best, caught = None, 0
-            for j, cutoff in enumerate(grid):
-                above = lambda label: sum(n for (s, r, x, y), n in counts.items() if s == stratum and r == rule and x > j and y == label)  # noqa: E731, B023
-                k = above(1)
-                if k >= each * good[stratum] or tail(k, good[stratum], each) > level:
-                    break
-                if (bad := above(0)) > caught:
-                    best, caught = cutoff, bad
-            if best is not None:
-                chosen.setdefault(stratum, {})[rule] = best
-    return chosen
+        out.append((cutoff, bad, good))
+    return out
+
+
+def next_rules(counts: Counts, good: dict[str, int], chosen: dict[str, dict[str, int]], risk: float = RISK, error: float = ERROR) -> dict[str, tuple[str, int]]:
+    """For each stratum the rule to add: of the certified cutoffs of unused rules the one with the largest gain, if any gains.
+
+    The gain is bad documents caught less two for each good one rejected; ties go to fewer good rejections, the earlier rule, the looser cutoff.
+    """
+    part, level = strata_and_level(good, risk, error)
+    out = {}
+    for stratum in part:
+        options = [
+            (bad - 2 * rejected, -rejected, -i, -j, rule, cutoff)
+            for i, rule in enumerate(RULES)
+            if rule not in chosen.get(stratum, {})
+            for j, (cutoff, bad, rejected) in enumerate(certified(counts, stratum, rule, good[stratum], level, risk))
+        ]
+        if options and (best := max(options))[0] > 0:
+            out[stratum] = best[4], best[5]
+    return out
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[str, dict[str, int]]:
-    """Cutoffs from the labelled documents that pass the base rule. Only counts come to the driver: 2 x rules x cutoffs a stratum."""
+    """Cutoffs from the labelled documents that pass the base rule, rule by rule on the bad documents that the rules before have not caught.
+
+    Only counts come to the driver: 2 x rules x cutoffs a stratum.
+    """
     label = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_y"))
-    rows = measured.where(~base_failed()).join(label, F.col("doc_id") == F.col("_id"))
+    rows = cut(measured.where(~base_failed()).join(label, F.col("doc_id") == F.col("_id")).withColumn("_y", (F.col("_y") == 1).cast("int")).drop("doc_id", "_id"))
+    good = {r["_stratum"]: r["count"] for r in rows.where("_y = 1").groupBy("_stratum").count().collect()}
     exceeded = []
     for rule, (count, of, grid) in RULES.items():
         n = sum((100 * F.col(f"_{count}") > c * F.col(f"_{of}")).cast("int") for c in grid)
         exceeded.append(F.struct(F.lit(rule).alias("rule"), n.alias("x")))
-    flat = rows.select("_stratum", (F.col("_y") == 1).cast("int").alias("y"), F.explode(F.array(*exceeded)).alias("e"))
-    found = flat.groupBy("_stratum", "e.rule", "e.x", "y").count().collect()
-    return select_cutoffs({(r["_stratum"], r["rule"], r["x"], r["y"]): r["count"] for r in found}, risk, error)
+    chosen: dict[str, dict[str, int]] = {}
+    for _ in RULES:
+        left = rows.where((F.col("_y") == 1) | verdict(chosen).isNull())
+        found = left.select("_stratum", "_y", F.explode(F.array(*exceeded)).alias("e")).groupBy("_stratum", "e.rule", "e.x", "_y").count().collect()
+        added = next_rules({(r["_stratum"], r["rule"], r["x"], r["_y"]): r["count"] for r in found}, good, chosen, risk, error)
+        for stratum, (rule, cutoff) in added.items():
+            chosen.setdefault(stratum, {})[rule] = cutoff
+        if not added:
+            break
+    return chosen
 
 
 def verdict(cutoffs: dict[str, dict[str, int]]) -> F.Column:
