@@ -463,3 +463,174 @@ def mcu_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("restart_markers", f"{_MCU_SQL} SELECT (mcu_row - 1) % 8 AS restart, count(*) AS n FROM r WHERE mcu_row > 0 GROUP BY 1")
 def restart_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mcu(spark, sf_dir).where("restart IS NOT NULL").groupBy("restart").agg(F.count("*").alias("n"))
+
+
+# ---- whole images: encoded from the rasters, decoded and resampled again ---------------------------
+
+
+def emb_images(spark: SparkSession, sf_dir: str, height: int, interlaced: bool = False) -> DataFrame:
+    """(path, content): the embedding rasters as PNG files, path being the image's number."""
+    px = emb_pixels(spark, sf_dir, height, 64, height, "contain").select("image_id", "y", "x", "r", "g", "b", "a")
+
+    def build(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        from .codecs import png
+        from .sources.images import encode_interlaced
+
+        c = {n: table.column(n).to_numpy() for n in ("y", "x", "r", "g", "b", "a")}
+        frame = np.zeros((height, 64, 4), np.uint8)
+        frame[c["y"], c["x"]] = np.stack([c["r"], c["g"], c["b"], c["a"]], axis=1)
+        data = encode_interlaced(frame) if interlaced else png.encode(frame)
+        return pa.table({"path": pa.array([str(key[0].as_py())]), "content": pa.array([data], pa.binary())})
+
+    return px.groupBy("image_id").applyInArrow(build, "path string, content binary")
+
+
+def _rgba_pixels(done: DataFrame) -> DataFrame:
+    """(image_id, oy, ox, r, g, b, a) of raw RGBA thumbnails."""
+    byte = lambda at: F.conv(F.hex(F.substring("bytes", F.col("i") * 4 + at, F.lit(1))), 16, 10).cast("bigint")
+    rows_ = done.withColumn("i", F.explode(F.sequence(F.lit(0), (F.length("bytes") / 4 - 1).cast("int"))))
+    return rows_.select(F.col("path").cast("bigint").alias("image_id"), P.div(F.col("i"), F.col("out_width")).alias("oy"), (F.col("i") % F.col("out_width")).alias("ox"), *[byte(k + 1).alias(n) for k, n in enumerate("rgba")])
+
+
+def _png_area(fit: str, ow: int, oh: int, interlaced: bool) -> Query:
+    from .operators.thumbnail import thumbnails
+    from .options import ThumbnailOptions
+
+    options = ThumbnailOptions(max_width=ow, max_height=oh, fit=fit, output="rgba")
+    return lambda spark, sf_dir: _rgba_pixels(thumbnails(emb_images(spark, sf_dir, 50, interlaced), options))
+
+
+# Boxes whose contained size is the box itself.
+_register("png_area_contain", _area_sql(50, 32, 25, "contain"))(_png_area("contain", 32, 25, False))
+_register("png_area_cover", _area_sql(50, 16, 24, "cover"))(_png_area("cover", 16, 24, False))
+_register("png_area_adam7", _area_sql(50, 16, 24, "cover"))(_png_area("cover", 16, 24, True))
+
+_IMAGES_SQL = "i AS (SELECT vec_id // 50 AS image_id FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY 1 HAVING count(*) = 50)"
+
+
+@_register("png_header", f"WITH {_IMAGES_SQL} SELECT image_id::VARCHAR AS path, 64::BIGINT AS width, 50::BIGINT AS height, 'rgba' AS color_type, 8::BIGINT AS bit_depth, TRUE AS interlaced, 4::BIGINT AS source_bpp, 'rgba8' AS auto_color FROM i")
+def png_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.images import inspect
+
+    return inspect(emb_images(spark, sf_dir, 50, True), keep_content=False).select("path", "width", "height", "color_type", "bit_depth", "interlaced", "source_bpp", "auto_color")
+
+
+@_register("png_ihdr", f"WITH {_IMAGES_SQL} SELECT image_id::VARCHAR AS path, 64::BIGINT AS width, 50::BIGINT AS height, 8::BIGINT AS bit_depth, 'rgba' AS color_type, FALSE AS interlaced FROM i")
+def png_ihdr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.images import ihdr
+
+    c = ihdr(F.col("content"))
+    return emb_images(spark, sf_dir, 50).select("path", *[c[n].alias(n) for n in ("width", "height", "bit_depth", "color_type", "interlaced")])
+
+
+@_register("png_chunks", f"WITH {_IMAGES_SQL} SELECT image_id::VARCHAR AS path, t.kind AS type, 1::BIGINT AS n FROM i, (VALUES ('IHDR'), ('IDAT')) t(kind)")
+def png_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.images import chunks
+
+    return chunks(emb_images(spark, sf_dir, 50)).groupBy("path", "type").agg(F.count("*").alias("n"))
+
+
+@_register("png_rows", f"WITH {_emb_sql(50)} SELECT image_id, y, count(*) AS n, sum((x + 1) * (r + 3 * g + 5 * b + 7 * a))::BIGINT AS checksum FROM px GROUP BY 1, 2")
+def png_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of decoded files, as pixels."""
+    from .operators.thumbnail import decode_rows, row_pixels
+
+    px = row_pixels(decode_rows(emb_images(spark, sf_dir, 50)))
+    sum_ = F.sum((F.col("x") + 1) * (F.col("r") + 3 * F.col("g") + 5 * F.col("b") + 7 * F.col("a")))
+    return px.groupBy(F.col("image_id").cast("bigint").alias("image_id"), "y").agg(F.count("*").alias("n"), sum_.alias("checksum"))
+
+
+@_register("png_roundtrip", f"WITH {_IMAGES_SQL} SELECT image_id::VARCHAR AS path, 64::BIGINT AS out_width, 50::BIGINT AS out_height, 'image/png' AS mime_type, TRUE AS same FROM i")
+def png_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PNG thumbnails of full size decode to the pixels that raw RGBA gives."""
+    from .operators.thumbnail import thumbnails
+    from .options import PngOptions, ThumbnailOptions
+
+    images = emb_images(spark, sf_dir, 50)
+    made = thumbnails(images, ThumbnailOptions(png=PngOptions(filter="paeth", compression="high")))
+    again = thumbnails(made.select("path", F.col("bytes").alias("content")), ThumbnailOptions(output="rgba"))
+    raw = thumbnails(images, ThumbnailOptions(output="rgba")).select("path", F.col("bytes").alias("raw"))
+    return made.select("path", "out_width", "out_height", "mime_type").join(again.select("path", "bytes"), "path").join(raw, "path").select("path", "out_width", "out_height", "mime_type", (F.col("bytes") == F.col("raw")).alias("same"))
+
+
+@_register("jpeg_encode", f"WITH {_IMAGES_SQL} SELECT image_id::VARCHAR AS path, 'image/jpeg' AS mime_type, 'FFD8' AS head, 'FFD9' AS tail FROM i")
+def jpeg_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.thumbnail import thumbnails
+    from .options import ThumbnailOptions
+
+    done = thumbnails(emb_images(spark, sf_dir, 50), ThumbnailOptions(output="jpeg"))
+    return done.select("path", "mime_type", F.hex(F.substring("bytes", 1, 2)).alias("head"), F.hex(F.substring("bytes", -2, 2)).alias("tail"))
+
+
+@_register("rejected_images", f"WITH {_IMAGES_SQL} SELECT image_id::VARCHAR AS path, CASE image_id % 4 WHEN 0 THEN 'DecodeFailure' WHEN 1 THEN 'TruncatedInput' WHEN 2 THEN 'LimitExceeded.InputWidth' ELSE 'LimitExceeded.InputBytes' END AS error_kind FROM i")
+def rejected_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken files and limits give typed rows, never a failed job."""
+    from .operators.thumbnail import thumbnails
+    from .options import Limits, ThumbnailOptions
+
+    k = F.col("path").cast("bigint") % 4
+    images = emb_images(spark, sf_dir, 50)
+    big = F.concat("content", F.repeat(F.lit("x"), 400_000).cast("binary"))
+    half = F.substring("content", 1, 40)  # within the first IDAT
+    bad = images.withColumn("content", F.when(k == 0, F.lit(b"no image at all")).when(k == 1, half).when(k == 2, F.col("content")).otherwise(big))
+    done = thumbnails(bad, ThumbnailOptions(limits=Limits(max_width=63, max_input_bytes=300_000)))
+    return done.select("path", "error_kind")
+
+
+@_register("encoded_chunks", f"WITH {_IMAGES_SQL} SELECT image_id::VARCHAR AS image_id, 12800::BIGINT AS bytes_written, 13::BIGINT AS chunks FROM i")
+def encoded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.thumbnail import thumbnails
+    from .options import ThumbnailOptions
+
+    done = thumbnails(emb_images(spark, sf_dir, 50), ThumbnailOptions(output="rgba")).select(F.col("path").alias("image_id"), "bytes")
+    return rows.chunks(done, 1024).groupBy("image_id").agg(F.sum(F.length("bytes")).alias("bytes_written"), F.count("*").alias("chunks"))
+
+
+@_register("stream_rows", _area_sql(50, 32, 25, "contain"))
+def stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanlines through the stateful row stream, over two micro-batches."""
+    import tempfile
+    import uuid
+
+    from .operators.thumbnail import decode_rows
+    from .streaming.rows import resample_rows
+
+    rows_ = decode_rows(emb_images(spark, sf_dir, 50)).select(F.col("path").alias("image_id"), "y", "rgba", *[F.lit(v).alias(n) for n, v in (("width", 64), ("height", 50), ("fit", "contain"), ("out_width", 32), ("out_height", 25))])
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()) + f"/rows-{uuid.uuid4().hex}"
+    rows_.where("y < 23").coalesce(1).write.parquet(folder)
+    rows_.where("y >= 23").coalesce(1).write.mode("append").parquet(folder)
+    name = f"rows_{uuid.uuid4().hex}"
+    no_data = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        # One file a trigger; the two were written one after the other, and files are taken in order of time.
+        stream = spark.readStream.schema(rows_.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        q = resample_rows(stream).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", no_data)
+    done = spark.table(name).where("error_kind IS NULL").select("image_id", "oy", "rgba")
+    byte = lambda at: F.conv(F.hex(F.substring("rgba", F.col("ox") * 4 + at, F.lit(1))), 16, 10).cast("bigint")
+    px = done.withColumn("ox", F.explode(F.sequence(F.lit(0), (F.length("rgba") / 4 - 1).cast("int"))))
+    return px.select(F.col("image_id").cast("bigint").alias("image_id"), "oy", F.col("ox").cast("bigint").alias("ox"), *[byte(k + 1).alias(n) for k, n in enumerate("rgba")])
+
+
+@_register("staged_sink")
+def staged_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thumbnails as files: written aside, renamed at commit, then read back."""
+    import tempfile
+    import uuid
+
+    from .operators.thumbnail import thumbnails
+    from .options import ThumbnailOptions
+    from .sources.images import scan
+    from .sources.staged import StagedSink
+
+    spark.dataSource.register(StagedSink)
+    folder = f"{tempfile.gettempdir()}/staged-{uuid.uuid4().hex}"
+    done = thumbnails(emb_images(spark, sf_dir, 50), ThumbnailOptions(max_width=32))
+    done.select(F.concat("path", F.lit(".png")).alias("name"), "bytes").write.format("staged_files").option("path", folder).mode("append").save()
+    return scan(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")

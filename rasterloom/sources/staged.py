@@ -64,9 +64,9 @@ class StagedWriter(DataSourceWriter):
             os.replace(staged, name)
 
     def abort(self, messages: list[Staged | None]) -> None:
-        for m in messages:
-            if m is not None:
-                self._drop(m.files)
+        # Also what tasks have left whose messages never came.
+        if os.path.isdir(self.folder):
+            self._drop([(os.path.join(self.folder, f), "") for f in os.listdir(self.folder) if f".{self.job}." in f])
 
 
 class StagedSink(DataSource):
