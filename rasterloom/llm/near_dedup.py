@@ -10,8 +10,9 @@ that leaves a coordinate empty. Two signatures agree in a coordinate with probab
 Jaccard similarity.
 
 Candidates share a band of `rows` coordinates. Copies of one word sequence are collapsed first; then each member of
-a bucket is compared with the bucket's first document, and once classes are known, members of a bucket that are still in
-different classes are compared with one another, so no candidate link is left out and no bucket of one class is ever paired up.
+a bucket is compared with one first document, and once classes are known, members of buckets that still hold several
+classes are compared with one another in blocks, so no candidate link is left out, no bucket of one class is ever paired up, and no
+pairs of a group become rows.
 Every link is verified on the whole texts: similarity of the shingle sets at or above the threshold.
 At 50 bands of 7 a pair at similarity 0.8 is missed with probability 8e-6.
 
@@ -33,7 +34,7 @@ from pyspark.sql import Window as W
 
 from .common import Words, cut, mix, prefix_hash, slices, span_hash
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 50, 7
+SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK = 5, 0.8, 50, 7, 256
 _U = np.uint64
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
 _STEP = _U(0xD1B54A32D192ED03)
@@ -192,29 +193,103 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _shingled(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                h, t, _, _ = shingles(part.column("text"), width)
+                h, t, _ = distinct(h, t)
+                offsets = np.searchsorted(t, np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("g"), part.column("block"), part.column("blocks"), part.column("d"), part.column("root"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], names=["g", "block", "blocks", "d", "root", "sh"])
+
+    return run
+
+
+def _linked(threshold: float):
+    """Two blocks of texts to links (a, b) of roots that join all classes with a pair similar enough; no more than classes - 1."""
+
+    def sides(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sh = rows.field("sh")
+        return rows.field("root").to_numpy(), np.diff(sh.offsets.to_numpy()), sh.flatten().to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ra, na, fa), (rb, nb, fb) = sides(batch.column("left")[i].values), sides(batch.column("right")[i].values)
+                _, inverse, times = np.unique(np.concatenate([fa, fb]), return_inverse=True, return_counts=True)
+                column = np.cumsum(times > 1) - 1  # what one text alone has is common to none
+                both = times[inverse] > 1
+                ia, ib = both[: len(fa)], both[len(fa) :]
+                ca, cb = column[inverse[: len(fa)][ia]], column[inverse[len(fa) :][ib]]
+                da, db = np.repeat(np.arange(len(na)), na)[ia], np.repeat(np.arange(len(nb)), nb)[ib]
+                common = np.zeros((len(na), len(nb)), np.float32)
+                for at in range(0, int((times > 1).sum()), 8192):  # indicator matrices of bounded width
+                    x, y = np.zeros((len(na), 8192), np.float32), np.zeros((len(nb), 8192), np.float32)
+                    sa, sb = (ca >= at) & (ca < at + 8192), (cb >= at) & (cb < at + 8192)
+                    x[da[sa], ca[sa] - at] = 1
+                    y[db[sb], cb[sb] - at] = 1
+                    common += x @ y.T
+                union = na[:, None] + nb[None, :] - common
+                p, q = np.nonzero((common >= threshold * union - 1e-6) & (ra[:, None] != rb[None, :]))
+                parent: dict[int, int] = {}
+
+                def find(v: int, parent: dict[int, int] = parent) -> int:
+                    while parent.setdefault(v, v) != v:
+                        parent[v] = parent[parent[v]]
+                        v = parent[v]
+                    return v
+
+                out = []
+                for u, v in {(int(u), int(v)) for u, v in zip(ra[p], rb[q])}:
+                    fu, fv = find(u), find(v)
+                    if fu != fv:
+                        parent[max(fu, fv)] = min(fu, fv)
+                        out.append((u, v))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def links_between_classes(open_: DataFrame, docs: DataFrame, threshold: float, width: int, size: int = BLOCK) -> DataFrame:
+    """Links (a, b) of roots for documents (d, root, r0) whose buckets hold several classes; r0 is a bucket's least root.
+
+    Classes connected by buckets form a group. A group's documents are dealt into blocks of about `size` texts, and each two
+    blocks meet in one row, so no pair becomes a row and no task holds more than two blocks.
+    """
+    groups = components(open_.select(F.col("root").alias("a"), F.col("r0").alias("b"))).select(F.col("v").alias("root_"), F.col("root").alias("g"))
+    members = open_.select("d", "root").distinct()
+    members = cut(members.join(groups, F.col("root") == F.col("root_"), "left").select("d", "root", F.coalesce("g", "root").alias("g")))
+    sizes = members.groupBy("g").agg(F.call_function("div", F.count("*") + (size - 1), F.lit(size)).alias("blocks"))
+    dealt = members.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")))
+    texts = docs.join(dealt, "d").select("g", "block", "blocks", "d", "root", "text").mapInArrow(_shingled(width), "g bigint, block bigint, blocks bigint, d bigint, root bigint, sh array<bigint>")
+    packed = cut(texts.groupBy("g", "block", "blocks").agg(F.collect_list(F.struct("root", "sh")).alias("own")))
+    left = packed.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select("g", F.col("other").alias("block"), F.col("own").alias("left"))
+    right = packed.select("g", "block", F.col("own").alias("right"))
+    return left.join(right, ["g", "block"]).select("left", "right").mapInArrow(_linked(threshold), "a bigint, b bigint").distinct()
+
+
 def near_duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """doc_id, class_id, is_first (the row's document stands for its class)."""
     docs = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("d"), F.col("text"))
     signed = cut(docs.mapInArrow(_signed(bands, rows, width, weighted), "d bigint, h1 bigint, h2 bigint, n bigint, keys array<bigint>"))
-    first = signed.where("n > 0").groupBy("h1", "h2").agg(F.min("d").alias("rep"))
+    # Written, so that the joins get plain exchanges, whose hot keys Spark can split.
+    first = cut(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("d").alias("rep")))
     keyed = signed.where("n > 0").select("d", "h1", "h2").join(first, ["h1", "h2"])
     member = cut(keyed.select("d", "rep").distinct())
     reps = signed.join(first, ["h1", "h2"]).where("n > 0 AND d = rep").select("d", F.explode("keys").alias("key"))
     bucket = reps.groupBy("key").agg(F.min("d").alias("b"), F.max("d").alias("c")).where("b < c").select("key", "b")
     hits = cut(reps.join(bucket, "key").select("key", "d", "b"))
-    star = hits.where("d > b").select(F.col("d").alias("a"), "b").distinct()
+    star = hits.where("d > b").groupBy(F.col("d").alias("a")).agg(F.min("b").alias("b"))
     links = cut(verify(star, docs, threshold, width))
     roots = components(links)
-    # What is left: members of one bucket in different classes. The texts themselves decide.
-    label = hits.select("key", "d", "b").join(roots.withColumnRenamed("v", "d"), "d", "left").select("key", "d", "b", F.coalesce("root", "d").alias("root"))
-    mixed = label.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    open_ = cut(label.join(mixed, "key"))
-    x = open_.select("key", F.col("d").alias("a"), F.col("root").alias("ra"))
-    y = open_.select("key", F.col("d").alias("b"), F.col("root").alias("rb"))
-    rest = x.join(y, "key").where("ra <> rb AND a > b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = cut(verify(rest, docs, threshold, width))
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    # What is left: members of one bucket in different classes. They are compared in blocks.
+    label = hits.select("key", "d").join(roots.withColumnRenamed("v", "d"), "d", "left").select("key", "d", F.coalesce("root", "d").alias("root"))
+    mixed = label.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key", "r0")
+    open_ = cut(label.join(mixed, "key").select("d", "root", "r0").distinct())
+    if not open_.isEmpty():
+        more = cut(links_between_classes(open_, docs, threshold, width))
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
     classed = member.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("d", F.coalesce("root", "rep").alias("root"))
     # Ids whose rows differ in words are in the least of their classes.
     classed = classed.groupBy("d").agg(F.min("root").alias("root"))
