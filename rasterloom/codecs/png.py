@@ -261,13 +261,20 @@ class Normalizer:
         elif h.depth == 16:
             s = rows.reshape(n, -1).view(">u2").astype(np.int64).reshape(n, width, -1)
         else:
-            s = rows.reshape(n, width, -1).astype(np.int64)
+            s = rows.reshape(n, width, -1)
         if self.table is not None:
             if s.max(initial=0) >= len(self.table):
                 raise ImageError("DecodeFailure", "palette index out of range")
             return self.table[s[:, :, 0]]
+        if h.depth == 8 and h.color == 6:
+            return rows.reshape(n, width, 4)
         top = (1 << h.depth) - 1
         out = np.empty((n, width, 4), np.uint8)
+        if h.depth == 8:  # scaling changes nothing
+            s = rows.reshape(n, width, -1)
+            out[:, :, :3] = s[:, :, :1] if h.color in (0, 4) else s[:, :, :3]
+            out[:, :, 3] = s[:, :, -1] if h.color == 4 else 255 if self.key is None else np.where((s == self.key).all(axis=2), 0, 255)
+            return out
         if h.color in (0, 4):
             # Direct 16-bit gray + alpha rounds as colour does; plain gray by its own maximum. Both are the same division.
             out[:, :, :3] = ((s[:, :, :1] * 255 + top // 2) // top).astype(np.uint8)

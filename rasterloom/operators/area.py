@@ -87,9 +87,7 @@ class Ordered:
             raise ImageError("UnexpectedRow", actual=y, limit=self.next_y)
         if band.shape[1] != self.x.n:
             raise ImageError("InvalidRowLength", actual=4 * band.shape[1], limit=4 * self.x.n)
-        p = _premultiplied(band)
-        total = np.concatenate([np.zeros((len(p), 1, 4), np.int64), np.cumsum(p, axis=1)], axis=1)
-        across = np.diff(total[:, self.x_at] * self.x.cell + p[:, np.minimum(self.x_at, self.x.n - 1)] * self.x_rest[None, :, None], axis=1)
+        across = self._across(band)
         down = self.before + np.concatenate([np.zeros((1, *across.shape[1:]), np.int64), np.cumsum(across, axis=0)])
         self.next_y += len(band)
         # A boundary at the very end of the image belongs to its last band.
@@ -105,6 +103,24 @@ class Ordered:
             return finish(np.diff(known, axis=0), self.x.span * self.y.span)
         return np.zeros((0, self.x.out, 4), np.uint8)
 
+    def _across(self, band: np.ndarray) -> np.ndarray:
+        """Sums over x of a band (n x out x 4). Opaque bands sum plain colours, with the factor 255 applied to the few sums."""
+        opaque = bool((band[..., 3] == 255).all())
+        narrow = self.x.n * 255 * 255 < 2**31
+        if opaque:
+            p = band[..., :3]
+        else:
+            p = band.astype(np.int32)
+            p[..., :3] *= p[..., 3:]
+        total = np.zeros((len(p), self.x.n + 1, p.shape[2]), np.int32 if narrow else np.int64)
+        np.cumsum(p, axis=1, dtype=total.dtype, out=total[:, 1:])
+        last = np.minimum(self.x_at, self.x.n - 1)
+        ends = total[:, self.x_at].astype(np.int64) * self.x.cell + p[:, last].astype(np.int64) * self.x_rest[None, :, None]
+        across = np.diff(ends, axis=1)
+        if opaque:
+            across = np.concatenate([across, np.full((*across.shape[:2], 1), self.x.span)], axis=2) * 255
+        return across
+
     def close(self) -> None:
         if self.next_y != self.y.n:
             raise ImageError("IncompleteImage", actual=self.next_y, limit=self.y.n)
