@@ -155,8 +155,6 @@ class Page:
                 if not self_closed:
                     closing = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
                     at = closing.end() if closing else end
-                if tag not in ("svg", "math"):
-                    self._flush()
                 continue
             if tag in VOID:
                 if tag == "hr":
