@@ -3,7 +3,7 @@
 Domains are classes of the labelled table: toxic (toxic = 1), low (quality = 0), clean (the rest). A sparse linear classifier on hashed
 words and style predicts a document's posterior over the domains. A document's rate is how many times it is drawn; the expected
 tokens of domain k are sum(rate * tokens * posterior_k). Rates are fitted to the targets by projected-gradient least squares:
-every step takes the gradient of the squared difference between expected and wanted totals, in the metric of the posteriors' second moments, and puts
+every step takes the gradient of the squared difference between expected and wanted totals, in the metric of the second moments of the documents whose rate is above zero, and puts
 negative rates to zero. A step needs the documents' rates only in sums of one number per domain, so rates are an expression over the written table
 of tokens and posteriors and no document's rate leaves its executor. Without a total, the wanted total is what keeps the anchor domain at
 its present size.
@@ -130,7 +130,7 @@ def memberships(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
 def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "clean", total: float | None = None, steps: int = STEPS) -> tuple[F.Column, dict]:
     """The rate of a row of members as an expression, and the wanted and expected totals.
 
-    Each step is one aggregation of one number per domain.
+    Each step is one aggregation of a number per domain and pair of domains.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     t = F.col("n_tokens")
@@ -142,16 +142,25 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, anchor: s
     share = share / share.sum()
     a = DOMAINS.index(anchor)
     want = share * (total if total is not None else have[a] / max(share[a], 1e-12))
-    inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-    rate, now = F.lit(1.0), have
+    rate, now, scale = F.lit(1.0), have, 1.0
+    best = rate, now, gram
     for _ in range(steps):
-        miss = now - want
+        miss = best[1] - want
         if np.abs(miss).sum() <= 1e-6 * max(want.sum(), 1):
             break
-        step = inverse @ miss
-        rate = F.greatest(F.lit(0.0), rate - sum(p[j] * float(step[j]) for j in range(k)))
-        sums = members.agg(*[F.sum(t * p[j] * rate).alias(f"e{j}") for j in range(k)]).first()
+        step = scale * np.linalg.pinv(best[2], rcond=1e-9, hermitian=True) @ miss
+        rate = F.greatest(F.lit(0.0), best[0] - sum(p[j] * float(step[j]) for j in range(k)))
+        live = members.withColumn("_rate", rate)
+        r = F.col("_rate")
+        sums = live.agg(*[F.sum(t * p[j] * r).alias(f"e{j}") for j in range(k)], *[F.sum(F.when(r > 0, t * p[i] * p[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
         now = np.array([sums[f"e{j}"] or 0.0 for j in range(k)])
+        # A step that leads away is taken back and tried at half its length.
+        if np.abs(now - want).sum() < np.abs(miss).sum():
+            best = rate, now, np.array([[sums[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
+            scale = min(1.0, 2 * scale)
+        else:
+            scale /= 2
+    rate, now, _ = best
     return rate, {"wanted": dict(zip(DOMAINS, want.tolist())), "expected": dict(zip(DOMAINS, now.tolist()))}
 
 

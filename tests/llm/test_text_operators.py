@@ -360,7 +360,7 @@ def test_repeated_spans(spark):
 def test_repeated_spans_odd_rows(odd):
     rows = substring_dedup.remove_repeats(odd).collect()
     assert len(rows) == len(ODD)
-    assert {r.doc_id: r.n_words - r.n_removed for r in rows}[5] == 20 + 2  # the three rotations of one window
+    assert {r.doc_id: r.n_words - r.n_removed for r in rows}[5] == 3  # windows from the fourth word on repeat the first three
     assert substring_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
@@ -409,4 +409,4 @@ def test_projected_gradient_with_active_bounds(spark):
     rate, sums = mixing.fit_rates(df, {"clean": 0.98, "low": 0.015, "toxic": 0.005}, steps=40)
     assert df.select(rate.alias("r")).where("r < 0").count() == 0
     for d in mixing.DOMAINS:
-        assert abs(sums["expected"][d] - sums["wanted"][d]) <= 0.03 * sum(sums["wanted"].values())
+        assert abs(sums["expected"][d] - sums["wanted"][d]) <= 0.005 * sum(sums["wanted"].values())
