@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-_RUN = re.compile(f"{SPACE}*[^{SPACE}]*")
+_RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 KEPT = 400_000
 
 
@@ -76,14 +76,24 @@ class Transducer:
     pieces: Pieces
     arcs: dict[str, int] = field(init=False)
     kept: dict[str, tuple[int, ...]] = field(init=False, default_factory=dict)
+    parts: dict[str, tuple[int, ...]] = field(init=False, default_factory=dict)
 
     def __post_init__(self) -> None:
         p = self.pieces
         self.arcs = {s: i for i, (s, t) in enumerate(zip(p.names, p.types)) if t in (1, 4)}
         self.bytes = {int(s[3:5], 16): i for i, (s, t) in enumerate(zip(p.names, p.types)) if t == 6}
+        #: The arcs as a trie: each prefix of a piece, with the piece's number or -1.
+        self.trie: dict[str, int] = {}
+        #: Neighbouring characters within pieces. Between any others no piece reaches across.
+        self.inner: set[str] = set()
+        for s, i in self.arcs.items():
+            for n in range(1, len(s)):
+                self.trie.setdefault(s[:n], -1)
+                self.inner.add(s[n - 1 : n + 1])
+        self.trie.update(self.arcs)
         self.longest = max(map(len, self.arcs), default=1)
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.whole: list[bool | None] = [None] * len(p.names)
         byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
         self.output = [byte_of[i] if i in byte_of else b"" if t == 3 else " ⁇ ".encode() if t == 2 else s.replace(SPACE, " ").encode() for i, (s, t) in enumerate(zip(p.names, p.types))]
 
@@ -101,42 +111,61 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _may_follow(self, a: str, b: str) -> bool:
-        ok = self.fits[a, b] = self.merge(a + b) == [a, b]
-        if len(self.fits) > 4 * KEPT:
+    def _may_follow(self, a: int, b: int) -> bool:
+        x, y = self.pieces.names[a], self.pieces.names[b]
+        if len(self.fits) > KEPT:
             self.fits.clear()
+        ok = self.fits[a << 32 | b] = x[-1] + y[0] not in self.inner or self.merge(x + y) == [x, y]
         return ok
 
-    def _is_whole(self, a: str) -> bool:
-        ok = self.whole[a] = self.merge(a) == [a]
+    def _is_whole(self, a: int) -> bool:
+        s = self.pieces.names[a]
+        ok = self.whole[a] = self.merge(s) == [s]
         return ok
 
-    def path(self, run: str) -> list[str]:
-        """The shortest path's pieces (a character without one stands for itself)."""
+    def path(self, run: str) -> list[int | str]:
+        """The shortest path's pieces by number; a character without one stands for itself."""
         return self._path_bpe(run) if self.pieces.bpe else self._path_unigram(run)
 
-    def _path_bpe(self, run: str) -> list[str]:
-        arcs, fits, whole, longest = self.arcs, self.fits, self.whole, self.longest
-        live = [""] * (len(run) + 1)
-        for i in range(1, len(run) + 1):
-            for j in range(max(0, i - longest), i):
-                t = run[j:i]
-                if t in arcs and (whole[t] if t in whole else self._is_whole(t)):
-                    if j == 0:
-                        break
-                    ok = fits.get((live[j], t))
-                    if ok or ok is None and self._may_follow(live[j], t):
-                        break
-            else:
-                t = run[i - 1]
-            live[i] = t
-        out, i = [], len(run)
+    def _path_bpe(self, run: str) -> list[int | str]:
+        trie, fits, whole = self.trie, self.fits, self.whole
+        n = len(run)
+        live: list[int] = [-1] * (n + 1)  # the piece that ends the one finite path to a place; -1: a character without a piece
+        back = [-1] * (n + 1)
+        for j in range(n):
+            if j and back[j] < 0:
+                back[j] = j - 1
+            last = live[j]
+            i = j
+            while i < n:
+                i += 1
+                t = trie.get(run[j:i])
+                if t is None:
+                    break
+                if t < 0 or back[i] >= 0:
+                    continue
+                w = whole[t]
+                if w is None:
+                    w = self._is_whole(t)
+                if not w:
+                    continue
+                if last >= 0:
+                    ok = fits.get(last << 32 | t)
+                    if ok is None:
+                        ok = self._may_follow(last, t)
+                    if not ok:
+                        continue
+                live[i], back[i] = t, j
+        if back[n] < 0:
+            back[n] = n - 1
+        out: list[int | str] = []
+        i = n
         while i:
-            out.append(live[i])
-            i -= len(live[i])
+            out.append(live[i] if live[i] >= 0 else run[i - 1])
+            i = back[i]
         return out[::-1]
 
-    def _path_unigram(self, run: str) -> list[str]:
+    def _path_unigram(self, run: str) -> list[int | str]:
         scores, lowest = self.pieces.scores, min(self.pieces.scores) - 10
         best = [0.0] + [float("inf")] * len(run)
         back = [0] * (len(run) + 1)
@@ -146,39 +175,64 @@ class Transducer:
                 cost = best[j] - (scores[at] if at is not None else lowest)
                 if (at is not None or j == i - 1) and cost < best[i]:
                     best[i], back[i] = cost, j
-        out, i = [], len(run)
+        out: list[int | str] = []
+        i = len(run)
         while i:
-            out.append(run[back[i] : i])
+            t = run[back[i] : i]
+            out.append(self.arcs.get(t, t))
             i = back[i]
         return out[::-1]
 
-    def run_ids(self, run: str) -> tuple[int, ...]:
+    def part_ids(self, part: str) -> tuple[int, ...]:
         ids: list[int] = []
-        for p in self.path(run):
-            at = self.arcs.get(p)
-            if at is not None:
-                ids.append(at)
+        for p in self.path(part):
+            if isinstance(p, int):
+                ids.append(p)
             elif self.bytes:
                 ids.extend(self.bytes[b] for b in p.encode("utf-8", "surrogatepass"))
             else:
                 ids.append(self.pieces.unknown)
         return tuple(ids)
 
+    def run_ids(self, run: str) -> tuple[int, ...]:
+        """Ids of a run, which is composed part by part where no piece reaches across."""
+        inner, parts, at = self.inner, self.parts, 0
+        out: tuple[int, ...] = ()
+        for i in range(1, len(run) + 1):
+            if i < len(run) and run[i - 1 : i + 1] in inner:
+                continue
+            part = run[at:i]
+            at = i
+            ids = parts.get(part)
+            if ids is None:
+                ids = self.part_ids(part)
+                if len(part) <= 40:
+                    if len(parts) >= KEPT:
+                        parts.clear()
+                    parts[part] = ids
+            out = out + ids if out else ids
+        return out
+
+    def _keep(self, run: str) -> tuple[int, ...]:
+        ids = self.run_ids(run)
+        if len(run) <= 40:
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            self.kept[run] = ids
+        return ids
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        kept = self.kept
-        out = []
-        for run in _RUN.findall((SPACE if self.pieces.prefix else "") + text.replace(" ", SPACE)):
-            ids = kept.get(run)
-            if ids is None:
-                ids = self.run_ids(run)
-                if len(run) <= 40:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[run] = ids
-            out.append(ids)
-        return list(chain.from_iterable(out))
+        if self.pieces.prefix and text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text:
+            runs = (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
+        else:
+            runs = _RUN.findall((SPACE if self.pieces.prefix else "") + text.replace(" ", SPACE))
+        found = list(map(self.kept.get, runs))
+        if None in found:
+            keep = self._keep
+            found = [x if x is not None else keep(r) for x, r in zip(found, runs)]
+        return list(chain.from_iterable(found))
 
     def decode(self, ids: list[int] | None) -> str:
         if not ids:
