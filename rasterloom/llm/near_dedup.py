@@ -279,15 +279,17 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD, w
     reps = signed.join(first, ["h1", "h2"]).where("n > 0 AND d = rep").select("d", F.explode("keys").alias("key"))
     bucket = reps.groupBy("key").agg(F.min("d").alias("b"), F.max("d").alias("c")).where("b < c").select("key", "b")
     hits = cut(reps.join(bucket, "key").select("key", "d", "b"))
+    # The texts that a comparison can ask for, moved once and by the same plan at every size.
+    texts = cut(docs.join(hits.select("d").distinct().hint("merge"), "d", "left_semi"))
     star = hits.where("d > b").groupBy(F.col("d").alias("a")).agg(F.min("b").alias("b"))
-    links = cut(verify(star, docs, threshold, width))
+    links = cut(verify(star, texts, threshold, width))
     roots = components(links)
     # What is left: members of one bucket in different classes. They are compared in blocks.
     label = hits.select("key", "d").join(roots.withColumnRenamed("v", "d"), "d", "left").select("key", "d", F.coalesce("root", "d").alias("root"))
     mixed = label.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key", "r0")
     open_ = cut(label.join(mixed, "key").select("d", "root", "r0").distinct())
     if not open_.isEmpty():
-        more = cut(links_between_classes(open_, docs, threshold, width))
+        more = cut(links_between_classes(open_, texts, threshold, width))
         if not more.isEmpty():
             roots = components(links.unionByName(more))
     classed = member.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("d", F.coalesce("root", "rep").alias("root"))
