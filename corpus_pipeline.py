@@ -15,6 +15,10 @@ from rasterloom.llm import mixing, near_dedup, quality_rules, secret_scan, sente
 from rasterloom.llm.common import cut, table
 
 
+#: Few low documents pass the first stage, so none of their tokens are asked for: a share of them would only repeat those few.
+MIX = {"clean": 0.97, "low": 0.0, "toxic": 0.03}
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
@@ -28,7 +32,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.apply_rates(docs, table(spark, sf_dir, "labels"))
+    return mixing.apply_rates(docs, table(spark, sf_dir, "labels"), MIX)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
