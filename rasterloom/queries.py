@@ -294,8 +294,8 @@ a AS (SELECT image_id, axis, src, c0, d, greatest(src * s, c0) AS a, least((src
 o AS (SELECT *, unnest(range((a - c0) // d, (b - c0 + d - 1) // d)) AS o FROM a WHERE a < b)
 SELECT axis, image_id, count(*) AS n, sum(w)::BIGINT AS w, sum(w * (src + 1) * (o + 1))::BIGINT AS checksum FROM (SELECT axis, image_id, src, o, least(b, c0 + (o + 1) * d) - greatest(a, c0 + o * d) AS w FROM o) GROUP BY 1, 2""".replace("WHERE l_one", "WHERE request_id % 10 = 1"))
 def axis_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlaps of every order's first line, summed up by image and axis."""
-    r = requests(spark, sf_dir).where("request_id % 10 = 1")
+    """Overlaps of every request, summed up by image and axis. The SQL keeps first lines only."""
+    r = requests(spark, sf_dir)
     images = r.select(F.col("request_id").alias("image_id"), (F.col("width") % 97 + 1).alias("width"), (F.col("height") % 89 + 1).alias("height"), (F.col("max_box_width") % 40 + 1).alias("out_width"), (F.col("max_box_height") % 40 + 1).alias("out_height"), "fit")
     o = resample.axis_overlaps(images)
     return o.groupBy("axis", "image_id").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * (F.col("src") + 1) * (F.col("out") + 1)).alias("checksum"))
