@@ -309,14 +309,15 @@ b AS (SELECT doc_id, bits, unnest(range(64)) AS j, text FROM t), p AS (SELECT do
 s AS (SELECT doc_id, bits, j * (8 // bits) + i AS x, (byte >> (8 - bits - i * bits)) & ((1 << bits) - 1) AS v FROM (SELECT *, unnest(range(8 // bits)) AS i FROM p))
 SELECT doc_id, count(*) AS n, sum((x + 1) * ((v * 255 + ((1 << bits) - 1) // 2) // ((1 << bits) - 1)))::BIGINT AS checksum FROM s GROUP BY 1""")
 def normalize_gray_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 64 characters of each long text as the bytes of a packed row of 1, 2 or 4 bits."""
-    t = _table(spark, sf_dir, "documents").where("length(text) >= 64 AND doc_id IS NOT NULL")
+    """The characters of each text as the bytes of a packed row of 1, 2 or 4 bits; a null or empty text has no samples and sum 0. The SQL keeps 64 characters of long texts."""
+    t = _table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
     bits = F.call_function("shiftleft", F.lit(1), (F.col("doc_id") % 3).cast("int")).cast("bigint")
-    bytes_ = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.ascii(F.substring(F.col("text"), i, F.lit(1))) % 256)
-    rows_ = t.select("doc_id", bits.alias("bits"), bytes_.alias("packed")).withColumn("width", P.div(F.lit(512).cast("bigint"), F.col("bits")))
-    px = normalize.unpack_rows(rows_, ["doc_id", "bits"], "packed", "width", "bits")
+    bytes_ = F.transform(F.split("text", ""), lambda c: F.ascii(c) % 256)
+    rows_ = t.where("length(text) > 0").select("doc_id", bits.alias("bits"), bytes_.alias("packed")).withColumn("width", P.div(F.size("packed") * F.lit(8).cast("bigint"), F.col("bits")))
+    none = t.where("text IS NULL OR length(text) = 0").select("doc_id", bits.alias("bits"), F.lit(None).cast("bigint").alias("x"), F.lit(None).cast("bigint").alias("sample"))
+    px = normalize.unpack_rows(rows_, ["doc_id", "bits"], "packed", "width", "bits").unionByName(none)
     gray = normalize.gray_pixel(F.col("sample"), F.col("bits"))["r"]
-    return px.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum((F.col("x") + 1) * gray).alias("checksum"))
+    return px.groupBy("doc_id").agg(F.count("x").alias("n"), F.coalesce(F.sum((F.col("x") + 1) * gray), F.lit(0)).alias("checksum"))
 
 
 _RAW_SQL = "raw AS (SELECT event_id, event_id * 31 % 65536 AS s0, user_id * 257 % 65536 AS s1, event_id * 7919 % 65536 AS s2, (event_id + user_id) * 13 % 65536 AS s3 FROM events)"

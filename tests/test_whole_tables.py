@@ -24,3 +24,18 @@ def test_mcu_rows_are_of_every_request(spark, duck, name):
     df = QUERIES[name](spark, SF)
     total = ", ".join(f"sum({c})::BIGINT" for c in df.columns)
     assert tuple(df.selectExpr("count(*)", *[f"sum({c})" for c in df.columns]).first()) == duck.sql(f"SELECT count(*), {total} FROM whole").fetchall()[0]
+
+
+def test_normalize_gray_packed_unpacks_whole_texts(spark, tmp_path):
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40)
+    odd = [(1001, None), (1002, ""), (1003, "a"), (1004, "é😀\nß" * 20), (1005, "x" * 63), (1006, "tail " * 30)]
+    real.unionByName(spark.createDataFrame(odd, "doc_id bigint, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(i, text):
+        bits = 1 << (i % 3)
+        top = (1 << bits) - 1
+        samples = [ord(c) % 256 >> s & top for c in text or "" for s in range(8 - bits, -1, -bits)]
+        return i, len(samples), sum((x + 1) * ((v * 255 + top // 2) // top) for x, v in enumerate(samples))
+
+    want = sorted(brute(*r) for r in [*real.collect(), *odd])
+    assert sorted(map(tuple, QUERIES["normalize_gray_packed"](spark, str(tmp_path)).collect())) == want
