@@ -384,8 +384,11 @@ def row_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("gradient_pattern", "WITH p AS (SELECT event_id % 100 AS x, event_id // 100 AS y FROM events WHERE event_id < 1000), q AS (SELECT x, y, x * 255 // 99 AS r, y * 255 // 9 AS g FROM p) SELECT x, y, r, g, (r + g) % 256 // 2 AS b, 255 AS a FROM q")
 def gradient_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "events").where("event_id < 1000").select((F.col("event_id") % 100).alias("x"), P.div(F.col("event_id"), 100).alias("y"))
-    return p.select("x", "y", *[c.alias(n) for n, c in zip("rgba", P.gradient(F.col("x"), F.col("y"), 100, 10))])
+    """The pattern 100 wide, and as high as the events fill or begin lines. The SQL keeps its first 10 lines and their height."""
+    e = _table(spark, sf_dir, "events")
+    n = e.agg((P.div(F.max("event_id"), 100) + 1).alias("height"))
+    p = e.crossJoin(F.broadcast(n)).select((F.col("event_id") % 100).alias("x"), P.div(F.col("event_id"), 100).alias("y"), "height")
+    return p.select("x", "y", *[c.alias(n) for n, c in zip("rgba", P.gradient(F.col("x"), F.col("y"), 100, F.col("height")))])
 
 
 # ---- rows, passes, windows -----------------------------------------------------------------------

@@ -39,3 +39,14 @@ def test_normalize_gray_packed_unpacks_whole_texts(spark, tmp_path):
 
     want = sorted(brute(*r) for r in [*real.collect(), *odd])
     assert sorted(map(tuple, QUERIES["normalize_gray_packed"](spark, str(tmp_path)).collect())) == want
+
+
+def test_gradient_pattern_covers_every_event(spark, tmp_path):
+    spark.range(2549).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    want = []
+    for i in range(2549):
+        x, y = i % 100, i // 100
+        r, g = x * 255 // 99, y * 255 // 25
+        want.append((x, y, r, g, (r + g) % 256 // 2, 255))
+    got = QUERIES["gradient_pattern"](spark, str(tmp_path)).select("x", "y", "r", "g", "b", "a")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
