@@ -6,8 +6,9 @@ page has for itself has all. Its presentation importance is the entropy of its c
 gamma weighing content. Branches of low importance are removed from each page, besides branches that their own tags or
 classes name as menus, headers, footers, sidebars, notices, adverts, forms or comments.
 
-A page with an article (or main) element has its text there. Inside it a branch goes for low importance only if it holds no paragraph, heading or list item and other parts of the
-host's articles are important, so that copies of an article do not erase it. With fewer than eight pages a node gives no evidence, and only names decide.
+Pages of a host with equal html count as one, so that copies are no evidence of boilerplate. A branch goes for low importance only if other parts of the host are important
+(for a branch inside articles or main elements, other parts inside), so that near copies do not erase their text.
+A page with an article (or main) element has its text there, and inside it a branch that holds a paragraph, heading or list item stays. With fewer than eight pages a node gives no evidence, and only names decide.
 
 Blocks are what block-level tags enclose; <br> is white space. Character references are decoded, white space becomes one space, and blocks are joined by one
 newline in page order.
@@ -221,7 +222,10 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def importance(pages: DataFrame) -> DataFrame:
     """(host, node, inside, movable, pages, importance) of the merged trees' nodes with text."""
-    seen = pages.select("url", "html").mapInArrow(_observed, "host bigint, node bigint, kind int, feature bigint, inside boolean, movable boolean")
+    # A host's pages once each, whatever their URLs: what _observed reads of a URL is its host.
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
+    distinct = pages.select(F.concat(F.lit("http://@"), host).alias("url"), "html").distinct()
+    seen = distinct.mapInArrow(_observed, "host bigint, node bigint, kind int, feature bigint, inside boolean, movable boolean")
     counted = seen.groupBy("host", "node", "inside", "movable", "kind", "feature").agg(F.count("*").alias("c"))
     there = F.max(F.when(F.col("kind") == 0, F.col("c")))
     nodes = counted.groupBy("host", "node", "inside", "movable").agg(
@@ -237,9 +241,10 @@ def importance(pages: DataFrame) -> DataFrame:
 def low_branches(pages: DataFrame) -> DataFrame:
     """(host, node) of the nodes whose importance removes them."""
     nodes = importance(pages)
-    best = nodes.groupBy("host").agg(F.max(F.when(F.col("inside") & ~F.col("movable"), F.col("importance"))).alias("best"))
-    low = nodes.where((F.col("importance") < LOW) & F.col("movable")).join(best, "host")
-    return low.where(~F.col("inside") | (F.col("best") >= CONTRAST)).select("host", "node").distinct()
+    stays = ~F.col("inside") | ~F.col("movable")
+    best = nodes.groupBy("host", "inside").agg(F.max(F.when(stays, F.col("importance"))).alias("best"))
+    low = nodes.where((F.col("importance") < LOW) & F.col("movable")).join(best, ["host", "inside"])
+    return low.where(F.col("best") >= CONTRAST).select("host", "node").distinct()
 
 
 def extract(pages: DataFrame) -> DataFrame:
