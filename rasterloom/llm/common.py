@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -9,7 +10,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: code points other than space and U+0009..U+000D.
@@ -32,17 +34,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured (local mode)."""
+    """The folder all executors share; a temporary one only where none is configured and executors run in this process (local mode)."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not conf and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return conf or f"{tempfile.gettempdir()}/rasterloom-checkpoints"
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """df in four partitions a core at most. A file costs the same whatever it holds (a local file system even starts a process for its mode), and more tasks than that don't run side by side."""
+    return df.coalesce(max(32, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends in files that outlive executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = new_folder(spark, "cut")
     schema = df.schema
-    df.write.parquet(path)
+    few_files(df).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -60,20 +73,45 @@ def crc_mod(col: str, n: int) -> F.Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
+#: Bounds of what a classifier is trained on beside its number of documents: bytes of one text, and of all.
+TRAIN_TEXT, TRAIN_BYTES = 1 << 20, 32 << 20
+
+
+def training_sample(rows: DataFrame, sample: int, most_text: int = TRAIN_TEXT, most: int = TRAIN_BYTES) -> list[Row]:
+    """A bounded sample of rows (doc_id, text, y): one row (the least) for each of the `sample` ids of least hash, in order of id.
+
+    Texts of more than most_text bytes are left out, and ids from where the texts would pass `most` bytes. Only the sample's sizes and then its texts come to the driver.
+    """
+    rows = rows.where(F.col("doc_id").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) <= most_text))
+    ids = rows.select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    met = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min(F.struct("text", "y")).alias("r"))
+    picked = cut(met.select(F.col("_id").alias("doc_id"), F.xxhash64("_id").alias("h"), "r.text", "r.y"))
+    sizes = picked.select("h", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()
+    total, last = 0, None
+    for r in sorted(sizes):
+        total += r["n"]
+        if total > most:
+            break
+        last = r
+    if last is None:
+        return []
+    kept = picked.where((F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("doc_id") <= last["doc_id"])))
+    return sorted(kept.select("doc_id", "text", "y").collect(), key=lambda r: r["doc_id"])
+
+
 # ---- vectorised hashing -------------------------------------------------------------------------
 
 _U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = _U(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
-_INV = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_STEP = _U(0xD1B54A32D192ED03)
+_ODD = _U(0x9E3779B97F4A7C15)
+_LANES = 8
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], np.uint64)
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
+    """A 64-bit finaliser; a bijection."""
     x = x ^ (x >> _U(30))
     x = x * _U(0xBF58476D1CE4E5B9)
     x ^= x >> _U(27)
@@ -82,31 +120,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, b in enumerate((_BASE, _INV)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hash() takes the hash of any span."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values) + 1)[0][: len(values)], out=out[1:])
-    return out
-
-
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start])
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two hashes in order. Mixing at every level keeps sequences apart that sums of powers would confuse."""
+    return mix(a * _ODD + (b ^ _STEP))
+
+
+def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each byte span: eight bytes at a time, each mixed into the last; spans beyond 64 bytes by a library hash."""
+    size = end - start
+    h = mix(size.astype(np.uint64) + _U(seed) * _STEP)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # eight bytes from every place
+    rows = np.flatnonzero(size <= 8 * _LANES)
+    for j in range(_LANES):
+        rows = rows[size[rows] > 8 * j]
+        if not len(rows):
+            break
+        x = lanes[start[rows] + 8 * j] & _MASK[np.minimum(size[rows] - 8 * j, 8)]
+        h[rows] = combine(h[rows], x)
+    for i in np.flatnonzero(size > 8 * _LANES).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]], seed)
+    return h
+
+
+def runs(values: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each run of width values, by doubling; it depends on the values' order and on nothing else."""
+    if len(values) < width:
+        return np.zeros(0, np.uint64)
+    n = len(values) - width + 1
+    out, done, power, span = None, 0, values, 1
+    while span <= width:
+        if width & span:
+            part = power[done : done + n]
+            out = part if out is None else combine(out, part)
+            done += span
+        if 2 * span <= width:
+            power = combine(power[:-span], power[span:])
+        span *= 2
+    return mix(out + _U(width))
 
 
 class Words:
     """Hashes of the words of an Arrow string array, all texts in one go."""
 
-    def __init__(self, texts: pa.Array) -> None:
+    def __init__(self, texts: pa.Array, seed: int = 0) -> None:
         texts = texts.fill_null("") if texts.null_count else texts
         wide = pa.types.is_large_string(texts.type)
         n = len(texts)
@@ -128,14 +186,40 @@ class Words:
         #: Of text i: words first[i] to first[i + 1].
         self.first = np.searchsorted(self.start, offsets)
         self.text = np.repeat(np.arange(n), np.diff(self.first))
-        self.hash = span_hash(prefix_hash(_BYTE[data]), self.start, self.end) if len(data) else np.zeros(0, np.uint64)
-
-
-def slices(batch: pa.RecordBatch, col: str = "text", limit: int = 1 << 21):
+        self.hash = hash_words(data, self.start, self.end, seed)
+
+    def again(self, seed: int) -> np.ndarray:
+        """The words' hashes by another seed."""
+        return hash_words(self.data, self.start, self.end, seed)
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all words, one space after each, and the start and end of each word there."""
+        size = self.end - self.start
+        to = np.cumsum(size + 1)
+        out = np.full(int(to[-1]) if len(to) else 0, 32, np.uint8)
+        at = to - size - 1
+        live = np.zeros(len(out) + 1, np.int8)
+        live[at] += 1
+        live[to - 1] -= 1
+        out[np.cumsum(live[:-1]) > 0] = self.data[~_SEPARATOR[self.data]]
+        return out, at, to - 1
+
+    def digests(self) -> list[bytes]:
+        """128 bits of a cryptographic hash of each text's sequence of words."""
+        out, at, end = self.joined()
+        raw = memoryview(out)
+        n = np.diff(self.first)
+        low = at[np.minimum(self.first[:-1], max(len(at) - 1, 0))] if len(at) else np.zeros(len(n), np.int64)
+        high = end[np.maximum(self.first[1:] - 1, 0)] if len(at) else low
+        return [hashlib.blake2b(raw[a:b] if c else b"", digest_size=16).digest() for a, b, c in zip(low.tolist(), high.tolist(), n.tolist())]
+
+
+def slices(batch: pa.RecordBatch, col: str | tuple[str, ...] = "text", limit: int = 1 << 21):
     """Parts of a batch with about limit bytes of text at most; a longer text is a part of its own."""
     if not batch.num_rows:
         return
-    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(col)), 0), dtype=np.int64))
+    cols = (col,) if isinstance(col, str) else col
+    sizes = np.cumsum(sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), dtype=np.int64) for c in cols))
     at = 0
     while at < batch.num_rows:
         base = sizes[at - 1] if at else 0

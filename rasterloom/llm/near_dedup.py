@@ -1,24 +1,26 @@
 """Near-duplicate classes of documents: DartMinHash signatures, banded joins, exact verification.
 
-A text is the set of its five-word shingles (a text of one to four words has one shingle, the whole text), each
-of weight 1, or of its count with weighted=True. Darts are thrown at the plane of element x weight x rank: every
+A text is the weighted set of its five-word shingles, each weighing as often as it occurs (with weighted=False, 1); a text
+of one to four words has one shingle, the whole text. Similarity is the weighted Jaccard similarity: the sum of the lesser over the
+sum of the greater weights. Darts are thrown at the plane of element x weight x rank: every
 unit cell of (element, weight, rank) holds a Poisson(1) number of darts whose places are hashes of the cell alone,
 so two texts that share a region share its darts. Darts outside the text's own region (weight above the element's,
 rank above the limit) are dropped, each of the rest hits one of k coordinates by hash, and a coordinate keeps its dart of
 least rank. The limit makes about k ln k + 2k darts however large the text, and is doubled for a text
-that leaves a coordinate empty. Two signatures agree in a coordinate with probability equal to the (weighted)
-Jaccard similarity.
-
-Candidates share a band of `rows` coordinates. Copies of one word sequence are collapsed first; then each member of
-a bucket is compared with one first document, and once classes are known, members of buckets that still hold several
-classes are compared with one another in blocks, so no candidate link is left out, no bucket of one class is ever paired up, and no
-pairs of a group become rows.
-Every link is verified on the whole texts: similarity of the shingle sets at or above the threshold.
+that leaves a coordinate empty. Two signatures agree in a coordinate with probability equal to the similarity.
+
+Candidates share a band of `rows` coordinates. Copies of one word sequence (by 128 bits of a cryptographic hash of the words) are
+collapsed first; then each member of a bucket is compared with its first document. While buckets hold several classes, `STARS` rounds
+compare each member with one hashed pivot of another class in its bucket; a round's rows are linear in the buckets. Members still
+apart after that meet in blocks bounded in texts and bytes, so no candidate link is left out, no bucket of one class is ever paired up, and no pairs of a
+group become rows; the blocks of what is left meet each other, which is quadratic in blocks for a group whose members agree in
+bands without being similar.
+Every link is verified on the whole texts: similarity at or above the threshold.
 At 50 bands of 7 a pair at similarity 0.8 is missed with probability 8e-6.
 
 Defined results: null, empty and wordless texts have no shingles and are classes of their own; documents of equal words are
 one class; class_id is the least doc_id of the class; rows with a null id take no part, have a null class and
-are first; repeated rows are each returned; rows that share an id are one document, in the least of its texts' classes; an empty table gives an empty result; other columns are ignored.
+are first; repeated rows are each returned; rows that share an id are one document, so the classes of its texts are one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,26 +34,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Words, cut, mix, prefix_hash, slices, span_hash
+from .common import Words, combine, cut, mix, runs, slices
 
-SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK = 5, 0.8, 50, 7, 256
+SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 50, 7
+#: Rounds of pivots; texts and bytes of text in a block of what they leave.
+STARS, BLOCK, BLOCK_BYTES = 2, 256, 1 << 20
 _U = np.uint64
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
 _STEP = _U(0xD1B54A32D192ED03)
 
 
-def shingles(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, Words, np.ndarray]:
-    """(hash, text) of each shingle, repeats included; the words and their prefix sums."""
+def shingles(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, Words]:
+    """(hash, text) of each shingle, repeats included, and the words."""
     w = Words(texts)
     n = len(w.hash)
-    prefix = prefix_hash(w.hash)
     count = np.diff(w.first)
     full = np.flatnonzero(w.text[: max(0, n - width + 1)] == w.text[width - 1 :]) if n >= width else np.zeros(0, np.int64)
-    few = np.flatnonzero((count > 0) & (count < width))
-    start = np.concatenate([full, w.first[few]])
-    end = np.concatenate([full + width, w.first[few + 1]])
-    text = np.concatenate([w.text[full] if len(full) else full, few])
-    return span_hash(prefix, start, end) if len(start) else np.zeros(0, np.uint64), text, w, prefix
+    found, owner = [runs(w.hash, width)[full]], [w.text[full]]
+    for k in range(1, width):
+        few = np.flatnonzero(count == k)
+        if len(few):
+            found.append(runs(w.hash, k)[w.first[few]])
+            owner.append(few)
+    return np.concatenate(found), np.concatenate(owner), w
 
 
 def distinct(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,6 +69,16 @@ def distinct(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h[at], t[at], np.diff(np.append(at, len(h)))
 
 
+def elements(hashes: np.ndarray, text: np.ndarray, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (element, text) in order of text whose plain Jaccard similarity is the weighted one: the i-th of equal shingles is an element of its own."""
+    h, t, count = distinct(hashes, text)
+    if not weighted:
+        return h, t
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    h, t = np.repeat(h, count), np.repeat(t, count)
+    return np.where(nth > 0, combine(h, nth.astype(np.uint64)), h), t
+
+
 def dart_signatures(hashes: np.ndarray, text: np.ndarray, weight: np.ndarray, n_texts: int, k: int) -> np.ndarray:
     """Signatures (n_texts x k) of weighted sets given as rows of (element hash, text, weight > 0), grouped by text.
 
@@ -126,34 +141,23 @@ def _signed(bands: int, rows: int, width: int, weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                h, t, w, prefix = shingles(part.column("text"), width)
+                h, t, w = shingles(part.column("text"), width)
                 h, t, count = distinct(h, t)
                 sig = dart_signatures(h, t, count.astype(np.float64) if weighted else np.ones(len(h)), part.num_rows, bands * rows)
-                keys = band_keys(sig, bands, rows)
-                whole = span_hash(prefix, w.first[:-1], w.first[1:])
-                n = np.diff(w.first)
-                # A second, separate sum over the words makes the key of equal texts 128 bits wide.
-                salted = prefix_hash(mix(w.hash + _STEP))
-                other = span_hash(salted, w.first[:-1], w.first[1:])
-                flat = pa.array(keys.reshape(-1).view(np.int64))
+                flat = pa.array(band_keys(sig, bands, rows).reshape(-1).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(whole.view(np.int64)), pa.array(other.view(np.int64)), pa.array(n.astype(np.int64)), lists], names=["d", "h1", "h2", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(w.digests(), pa.binary()), pa.array(np.diff(w.first).astype(np.int64)), lists], names=["d", "own", "n", "keys"])
 
     return run
 
 
-def _verified(threshold: float, width: int):
-    """Pairs (a, b, ta, tb) whose shingle sets have at least the threshold in common."""
+def _verified(threshold: float, width: int, weighted: bool):
+    """Pairs (a, b, ta, tb) whose shingles have at least the threshold in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "ta", 1 << 20):
-                sets = []
-                for col in ("ta", "tb"):
-                    h, t, _, _ = shingles(part.column(col), width)
-                    h, t, _ = distinct(h, t)
-                    sets.append((h, t))
-                (ha, ta), (hb, tb) = sets
+            for part in slices(batch, ("ta", "tb"), 1 << 21):
+                (ha, ta), (hb, tb) = (elements(*shingles(part.column(col), width)[:2], weighted) for col in ("ta", "tb"))
                 both = distinct(np.concatenate([ha, hb]), np.concatenate([ta, tb]))
                 n = part.num_rows
                 union = np.bincount(both[1], minlength=n)
@@ -164,11 +168,11 @@ def _verified(threshold: float, width: int):
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, threshold: float, width: int = SHINGLE) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, threshold: float, width: int = SHINGLE, weighted: bool = True) -> DataFrame:
     """The pairs (a, b) of ids whose whole texts are similar enough. Both joins read the texts by one exchange."""
     left = docs.select(F.col("d").alias("a"), F.col("text").alias("ta"))
     right = docs.select(F.col("d").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verified(threshold, width), "a bigint, b bigint").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verified(threshold, width, weighted), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,14 +197,21 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _shingled(width: int):
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """roots (v, root) after edges (a, b) between roots."""
+    new = components(edges)
+    moved = new.select(F.col("v").alias("root"), F.col("root").alias("to"))
+    return cut(roots.join(moved, "root", "left").select("v", F.coalesce("to", "root").alias("root")).unionByName(new))
+
+
+def _shingled(width: int, weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                h, t, _, _ = shingles(part.column("text"), width)
-                h, t, _ = distinct(h, t)
+                h, t = elements(*shingles(part.column("text"), width)[:2], weighted)
                 offsets = np.searchsorted(t, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("g"), part.column("block"), part.column("blocks"), part.column("d"), part.column("root"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], names=["g", "block", "blocks", "d", "root", "sh"])
+                names = ["g", "block", "blocks", "d", "root"]
+                yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], names=[*names, "sh"])
 
     return run
 
@@ -223,9 +234,9 @@ def _linked(threshold: float):
                 ca, cb = column[inverse[: len(fa)][ia]], column[inverse[len(fa) :][ib]]
                 da, db = np.repeat(np.arange(len(na)), na)[ia], np.repeat(np.arange(len(nb)), nb)[ib]
                 common = np.zeros((len(na), len(nb)), np.float32)
-                for at in range(0, int((times > 1).sum()), 8192):  # indicator matrices of bounded width
-                    x, y = np.zeros((len(na), 8192), np.float32), np.zeros((len(nb), 8192), np.float32)
-                    sa, sb = (ca >= at) & (ca < at + 8192), (cb >= at) & (cb < at + 8192)
+                for at in range(0, int((times > 1).sum()), 4096):  # indicator matrices of bounded width
+                    x, y = np.zeros((len(na), 4096), np.float32), np.zeros((len(nb), 4096), np.float32)
+                    sa, sb = (ca >= at) & (ca < at + 4096), (cb >= at) & (cb < at + 4096)
                     x[da[sa], ca[sa] - at] = 1
                     y[db[sb], cb[sb] - at] = 1
                     common += x @ y.T
@@ -250,50 +261,65 @@ def _linked(threshold: float):
     return run
 
 
-def links_between_classes(open_: DataFrame, docs: DataFrame, threshold: float, width: int, size: int = BLOCK) -> DataFrame:
+def links_between_classes(open_: DataFrame, texts: DataFrame, threshold: float, width: int, weighted: bool = True, size: int | None = None, limit: int = BLOCK_BYTES) -> DataFrame:
     """Links (a, b) of roots for documents (d, root, r0) whose buckets hold several classes; r0 is a bucket's least root.
 
-    Classes connected by buckets form a group. A group's documents are dealt into blocks of about `size` texts, and each two
-    blocks meet in one row, so no pair becomes a row and no task holds more than two blocks.
+    Classes connected by buckets form a group. A group's documents are dealt into blocks of about `size` texts and `limit` bytes of text (a longer text is in a
+    block beside others), and each two blocks meet in one row, so no pair becomes a row and no task holds more than two blocks.
     """
+    size = size or BLOCK
     groups = components(open_.select(F.col("root").alias("a"), F.col("r0").alias("b"))).select(F.col("v").alias("root_"), F.col("root").alias("g"))
     members = open_.select("d", "root").distinct()
-    members = cut(members.join(groups, F.col("root") == F.col("root_"), "left").select("d", "root", F.coalesce("g", "root").alias("g")))
-    sizes = members.groupBy("g").agg(F.call_function("div", F.count("*") + (size - 1), F.lit(size)).alias("blocks"))
-    dealt = members.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")))
-    texts = docs.join(dealt, "d").select("g", "block", "blocks", "d", "root", "text").mapInArrow(_shingled(width), "g bigint, block bigint, blocks bigint, d bigint, root bigint, sh array<bigint>")
-    packed = cut(texts.groupBy("g", "block", "blocks").agg(F.collect_list(F.struct("root", "sh")).alias("own")))
+    members = members.join(groups, F.col("root") == F.col("root_"), "left").select("d", "root", F.coalesce("g", "root").alias("g"))
+    dealt = cut(members.join(texts, "d").select("d", "root", "g", "text"))
+    blocks = F.greatest(F.ceil(F.count("*") / size), F.ceil(F.sum(F.octet_length("text")) / limit)).cast("bigint")
+    dealt = dealt.join(dealt.groupBy("g").agg(blocks.alias("blocks")), "g").withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")))
+    # By block, so that the blocks of one large group don't meet in one task.
+    rows = dealt.select("g", "block", "blocks", "d", "root", "text").repartition("g", "block").mapInArrow(_shingled(width, weighted), "g bigint, block bigint, blocks bigint, d bigint, root bigint, sh array<bigint>")
+    packed = cut(rows.groupBy("g", "block", "blocks").agg(F.collect_list(F.struct("root", "sh")).alias("own")))
     left = packed.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select("g", F.col("other").alias("block"), F.col("own").alias("left"))
     right = packed.select("g", "block", F.col("own").alias("right"))
     return left.join(right, ["g", "block"]).select("left", "right").mapInArrow(_linked(threshold), "a bigint, b bigint").distinct()
 
 
-def near_duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+def near_duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = True, stars: int = STARS) -> DataFrame:
     """doc_id, class_id, is_first (the row's document stands for its class)."""
     docs = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("d"), F.col("text"))
-    signed = cut(docs.mapInArrow(_signed(bands, rows, width, weighted), "d bigint, h1 bigint, h2 bigint, n bigint, keys array<bigint>"))
+    signed = cut(docs.mapInArrow(_signed(bands, rows, width, weighted), "d bigint, own binary, n bigint, keys array<bigint>"))
     # Written, so that the joins get plain exchanges, whose hot keys Spark can split.
-    first = cut(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("d").alias("rep")))
-    keyed = signed.where("n > 0").select("d", "h1", "h2").join(first, ["h1", "h2"])
+    first = cut(signed.where("n > 0").groupBy("own").agg(F.min("d").alias("rep")))
+    keyed = signed.where("n > 0").select("d", "own").join(first, "own")
     member = cut(keyed.select("d", "rep").distinct())
-    reps = signed.join(first, ["h1", "h2"]).where("n > 0 AND d = rep").select("d", F.explode("keys").alias("key"))
+    reps = signed.join(first, "own").where("n > 0 AND d = rep").select("d", F.explode("keys").alias("key"))
     bucket = reps.groupBy("key").agg(F.min("d").alias("b"), F.max("d").alias("c")).where("b < c").select("key", "b")
     hits = cut(reps.join(bucket, "key").select("key", "d", "b"))
     # The texts that a comparison can ask for, moved once and by the same plan at every size.
     texts = cut(docs.join(hits.select("d").distinct().hint("merge"), "d", "left_semi"))
     star = hits.where("d > b").groupBy(F.col("d").alias("a")).agg(F.min("b").alias("b"))
-    links = cut(verify(star, texts, threshold, width))
-    roots = components(links)
-    # What is left: members of one bucket in different classes. They are compared in blocks.
-    label = hits.select("key", "d").join(roots.withColumnRenamed("v", "d"), "d", "left").select("key", "d", F.coalesce("root", "d").alias("root"))
-    mixed = label.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key", "r0")
-    open_ = cut(label.join(mixed, "key").select("d", "root", "r0").distinct())
-    if not open_.isEmpty():
-        more = cut(links_between_classes(open_, texts, threshold, width))
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+    # Texts of one id are one document.
+    several = member.groupBy("d").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b < c").select("d", "b")
+    same = member.join(several, "d").select(F.col("rep").alias("a"), "b")
+    roots = cut(components(verify(star, texts, threshold, width, weighted).unionByName(same)))
+    left = None
+    for turn in range(stars + 1):
+        # Members of one bucket in different classes.
+        label = hits.select("key", "d").join(roots.withColumnRenamed("v", "d"), "d", "left").select("key", "d", F.coalesce("root", "d").alias("root"))
+        mixed = label.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct(F.xxhash64("d", F.lit(turn)), "d", "root")).alias("pivot")).where("r0 < r1")
+        open_ = cut(label.join(mixed.select("key", "r0", "pivot"), "key").select("d", "root", "r0", F.col("pivot.d").alias("p"), F.col("pivot.root").alias("pr")).distinct())
+        if open_.isEmpty():
+            break
+        if left is None:
+            left = cut(texts.join(open_.select("d").distinct().hint("merge"), "d", "left_semi"))
+        if turn == stars:
+            edges = cut(links_between_classes(open_.select("d", "root", "r0").distinct(), left, threshold, width, weighted))
+        else:
+            own = open_.select("d", "root").distinct()
+            found = verify(open_.where("root <> pr").select(F.col("d").alias("a"), F.col("p").alias("b")).distinct(), left, threshold, width, weighted)
+            edges = found.join(own.select(F.col("d").alias("a"), F.col("root").alias("ra")), "a").join(own.select(F.col("d").alias("b"), F.col("root").alias("rb")), "b")
+            edges = cut(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        if not edges.isEmpty():
+            roots = joined(roots, edges)
     classed = member.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("d", F.coalesce("root", "rep").alias("root"))
-    # Ids whose rows differ in words are in the least of their classes.
     classed = classed.groupBy("d").agg(F.min("root").alias("root"))
     ids = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     out = ids.join(classed, F.col("doc_id") == F.col("d"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
@@ -301,7 +327,7 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD, w
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """One row for each class, of its first document; rows without an id all stay; the columns stay as they are."""
+    """One row for each class, of its first document (of that id's rows the one of least text, nulls first); rows without an id all stay; the columns stay as they are."""
     follow = near_duplicate_classes(documents, **options).where("NOT is_first").select(F.col("doc_id").alias("_d")).distinct()
     kept = documents.join(follow, documents["doc_id"].cast("bigint") == F.col("_d"), "left_anti")
     again = kept.where("doc_id IS NOT NULL").withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
