@@ -1,14 +1,17 @@
 """Removal of repeated word spans by compacting a De Bruijn graph of the corpus.
 
-Six-word k-mers are the edges of the graph. A window of 20 words belongs to the edge of least hash
-among its fifteen, so the windows of one edge in a row form a path; the path's words are hashed
-as a whole. An edge that all its paths reach and leave alike is nonbranching: the whole path repeats or
-none of it does, and one row stands for up to fifteen windows. Only edges with several different paths
-(branches: where copies begin, end or differ) are opened up into windows. All joins are on edges,
-paths and windows; what comes back to a document are source coordinates, and the words are cut from
-its own text.
-
-Keys have 128 bits: the edge's hash and the path's or window's hash, taken by separate sums.
+The graph's edges are windows (k-mers) of 20 words, its nodes the 19 words that two neighbouring windows share. As the graph of all
+windows would be larger than the corpus, only what can repeat enters it: a window belongs to the least-hashed of its
+fifteen six-word k-mers, windows of one such k-mer in a row travel as one piece, and pieces whose k-mer is in one
+document only are dropped. A k-mer whose pieces are all alike keeps them whole; where they differ (copies begin, end or
+part there) each distinct piece is opened up into its windows. Pieces and windows of several documents are the graph's elements.
+
+Of each element all successors and predecessors are counted over the documents that hold it, an end of the repeat being one of its own. Where an element has
+one successor and that one has it as only predecessor, the node between them does not branch and both have the same documents. Such paths are compacted by
+pointer doubling: each round joins every element's pointer with the pointer of the element it points at, so a path of n elements
+takes log2(n) joins. A compacted path is one span in every document that holds it. The source is the document of
+least id; a 128-bit cryptographic hash of the words at the source's coordinates is joined to the other documents' spans, and
+a span is removed only if the words at its own coordinates hash alike. Repeats within a text are found and compared there.
 
 Defined results: null or empty text has no words and gives the digest of the empty text; a null id ranks
 before all others; rows that share an id count as one document, so that none removes from another
@@ -23,30 +26,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, cut, doc_key, from_key, mix, prefix_hash, slices, span_hash
+from .common import Words, combine, cut, doc_key, from_key, mix, runs, slices
 
 WINDOW, EDGE = 20, 6
 _U = np.uint64
 
 
-class Paths:
-    """The paths of a slice of texts: windows low..high (first words) of the edge at word mid."""
+class Pieces:
+    """The pieces of a slice of texts: windows low..high (first words) of the k-mer at word mid."""
 
     def __init__(self, texts: pa.Array, window: int, edge: int) -> None:
         self.words = w = Words(texts)
         n = len(w.hash)
-        self.prefix = prefix_hash(w.hash)
         none = np.zeros(0, np.int64)
         self.low = self.high = self.mid = self.text = none
-        self.edge = self.path = none.astype(np.uint64)
+        self.edge = self.piece = none.astype(np.uint64)
         if n < window:
             return
-        at = np.arange(n - edge + 1)
-        best = span_hash(self.prefix, at, at + edge)
-        # Leftmost least edge of each window, by doubling the span looked at.
+        best = runs(w.hash, edge)
+        at = np.arange(len(best))
+        # Leftmost least k-mer of each window, by doubling the span looked at.
         span, want, least, where = 1, window - edge + 1, best, at
         while span < want:
             step = min(span, want - span)
@@ -65,90 +68,107 @@ class Paths:
         self.high = ok[np.append(first[1:], len(ok)) - 1]
         self.mid, self.text = mid[first], text[first]
         self.edge = best[self.mid]
+        # The first and the last window hold all words of a piece, as it has no more than two windows' words.
+        whole = runs(w.again(1), window)
         shape = (self.mid - self.low).astype(np.uint64) * _U(1024) + (self.high - self.low).astype(np.uint64)
-        self.path = mix(span_hash(self.prefix, self.low, self.high + window) ^ mix(shape + _U(1)))
-
-    def windows(self, starts: np.ndarray, window: int) -> np.ndarray:
-        return span_hash(self.prefix, starts, starts + window)
+        self.piece = combine(combine(whole[self.low], whole[self.high]), mix(shape + _U(1)))
 
 
-def _row_tags(texts: pa.Array, w: Words, prefix: np.ndarray) -> np.ndarray:
-    """22 bits that tell rows apart which share an id."""
-    return (span_hash(prefix, w.first[:-1], w.first[1:]) >> _U(42)).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
+# A place packs a tag of the row (22 bits; tells rows apart that share an id), the k-mer's word (30 bits), words before it (5 bits) and windows less one (6 bits).
+def _pack(tag: np.ndarray, mid: np.ndarray, before: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return (tag << 41) | (mid << 11) | (before << 6) | length
 
 
-def _pack(tag: np.ndarray, place: np.ndarray, before: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """tag 22 bits, place 30 bits, before 5 bits, length 6 bits."""
-    return (tag << 41) | (place << 11) | (before << 6) | length
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """The first row of each distinct tuple of keys, in order of rows."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return np.sort(order[new])
 
 
-def _paths_of(window: int, edge: int):
+def _pieces_of(window: int, edge: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                p = Paths(part.column("text"), window, edge)
+                p = Pieces(part.column("text"), window, edge)
                 if not len(p.low):
                     continue
-                # Of a path that a text holds several times, the first counts; the others are its own business.
-                order = np.lexsort((p.path, p.edge, p.text))
-                t, e, h = p.text[order], p.edge[order], p.path[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (t[1:] != t[:-1]) | (e[1:] != e[:-1]) | (h[1:] != h[:-1])
-                keep = np.sort(order[new])
-                tag = _row_tags(part.column("text"), p.words, p.prefix)[p.text[keep]]
-                base = p.words.first[p.text[keep]]
-                doc = part.column("d").to_numpy(zero_copy_only=False)[p.text[keep]]
-                where = _pack(tag, p.mid[keep] - base, p.mid[keep] - p.low[keep], p.high[keep] - p.low[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(p.edge[keep].view(np.int64)), pa.array(p.path[keep].view(np.int64)), pa.array(doc), pa.array(where)], names=["edge", "path", "d", "at"])
+                # Of a piece that a text holds several times, the first counts; the others are the text's own business.
+                keep = _firsts(p.piece, p.edge, p.text)
+                owner = p.text[keep]
+                tag = part.column("tag").to_numpy()[owner]
+                doc = part.column("d").to_numpy()[owner]
+                where = _pack(tag, p.mid[keep] - p.words.first[owner], p.mid[keep] - p.low[keep], p.high[keep] - p.low[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(p.edge[keep].view(np.int64)), pa.array(p.piece[keep].view(np.int64)), pa.array(doc), pa.array(where)], names=["edge", "piece", "d", "at"])
 
     return run
 
 
 def _windows_of(window: int, edge: int):
-    """Windows of the paths asked for (at: their packed places)."""
+    """Windows of the pieces asked for (asked: their places), each of a text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 w = Words(part.column("text"))
-                prefix = prefix_hash(w.hash)
-                tags = _row_tags(part.column("text"), w, prefix)
-                asked = part.column("at")
-                off = asked.offsets.to_numpy()
-                row = np.repeat(np.arange(part.num_rows), np.diff(off))
+                edges, whole = runs(w.hash, edge), runs(w.again(1), window)
+                asked = part.column("asked")
+                row = np.repeat(np.arange(part.num_rows), np.diff(asked.offsets.to_numpy()))
                 at = asked.flatten().to_numpy()
-                own = (at >> 41) == tags[row]
-                row, at = row[own], at[own]
-                if not len(at):
-                    continue
+                order = np.lexsort((at, row))  # by place, so that the first of equal windows stays
+                row, at = row[order], at[order]
                 mid, before, length = (at >> 11) & (2**30 - 1), (at >> 6) & 31, at & 63
                 each = np.repeat(np.arange(len(at)), length + 1)
                 step = np.arange(len(each)) - np.repeat(np.cumsum(length + 1) - length - 1, length + 1)
-                low = mid - before
-                start = low[each] + step
-                whole = w.first[row[each]] + start
-                middle = w.first[row] + mid
-                doc = part.column("d").to_numpy(zero_copy_only=False)[row[each]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(span_hash(prefix, middle, middle + edge)[each].view(np.int64)), pa.array(span_hash(prefix, whole, whole + window).view(np.int64)), pa.array(doc), pa.array(_pack(tags[row[each]], start, np.zeros_like(start), np.full_like(start, window)))],
-                    names=["edge", "window", "d", "at"],
-                )
+                start = (mid - before)[each] + step
+                owner = row[each]
+                key, own = edges[w.first[owner] + mid[each]], whole[w.first[owner] + start]
+                keep = _firsts(own, key, owner)
+                key, own, owner, start = key[keep], own[keep], owner[keep], start[keep]
+                none = np.zeros_like(start)
+                where = _pack(part.column("tag").to_numpy()[owner], start, none, none)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own.view(np.int64)), pa.array(part.column("d").to_numpy()[owner]), pa.array(where)], names=["edge", "piece", "d", "at"])
 
     return run
 
 
-def _own_repeats(w: Words, prefix: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the windows that occur earlier in the same text."""
+def _digest(raw: memoryview) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, digest) of the spans asked for: the words at the source's coordinates."""
+    for batch in batches:
+        for part in slices(batch):
+            w = Words(part.column("text"))
+            raw, at, end = w.joined()
+            view = memoryview(raw)
+            asked = part.column("asked")
+            spans = asked.flatten()
+            base = w.first[np.repeat(np.arange(part.num_rows), np.diff(asked.offsets.to_numpy()))]
+            low = base + spans.field("low").to_numpy()
+            high = low + spans.field("n").to_numpy() - 1
+            yield pa.RecordBatch.from_arrays([spans.field("path"), pa.array([_digest(view[a:b]) for a, b in zip(at[low].tolist(), end[high].tolist())], pa.binary())], names=["path", "digest"])
+
+
+def _own_repeats(w: Words, window: int, raw: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """First words of the windows that occur earlier in the same text, compared word by word."""
     n = len(w.hash)
     if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     start = np.flatnonzero(w.text[: n - window + 1] == w.text[window - 1 :])
-    key, text = span_hash(prefix, start, start + window), w.text[start]
+    key, text = runs(w.hash, window)[start], w.text[start]
     order = np.lexsort((start, key, text))
     k, t = key[order], text[order]
     again = np.zeros(len(order), bool)
     again[1:] = (k[1:] == k[:-1]) & (t[1:] == t[:-1])
-    return start[order[again]], text[order[again]]
+    view = memoryview(raw)
+    found, before = start[order[again]], start[order[np.flatnonzero(again) - 1]]
+    same = [view[a:b] == view[c:d] for a, b, c, d in zip(at[found].tolist(), end[found + window - 1].tolist(), at[before].tolist(), end[before + window - 1].tolist())]
+    return found[np.array(same, bool)] if same else found
 
 
 def _cut_out(window: int):
@@ -156,67 +176,106 @@ def _cut_out(window: int):
         for batch in batches:
             for part in slices(batch):
                 w = Words(part.column("text"))
-                prefix = prefix_hash(w.hash)
-                tags = _row_tags(part.column("text"), w, prefix)
+                raw, at, end = w.joined()
+                view = memoryview(raw)
                 cover = np.zeros(len(w.hash) + 1, np.int64)
-                own, _ = _own_repeats(w, prefix, window)
+                own = _own_repeats(w, window, raw, at, end)
                 np.add.at(cover, own, 1)
                 np.add.at(cover, own + window, -1)
                 asked = part.column("gone")
-                counts = np.diff(asked.offsets.to_numpy())
-                row = np.repeat(np.arange(part.num_rows), counts)
-                at = asked.flatten().to_numpy()
-                fit = (at >> 41) == tags[row]
-                row, at = row[fit], at[fit]
-                low = w.first[row] + ((at >> 11) & (2**30 - 1)) - ((at >> 6) & 31)
-                high = low + (at & 63)
-                # A path's last window starts at high; a single window's span is its length already.
-                np.add.at(cover, low, 1)
-                np.add.at(cover, high, -1)
+                spans = asked.flatten()
+                low = w.first[np.repeat(np.arange(part.num_rows), np.diff(asked.offsets.to_numpy()))] + spans.field("low").to_numpy()
+                high = low + spans.field("n").to_numpy()
+                if len(low):
+                    same = np.array([_digest(view[a:b]) == x for a, b, x in zip(at[low].tolist(), end[high - 1].tolist(), spans.field("digest").to_pylist())], bool)
+                    np.add.at(cover, low[same], 1)
+                    np.add.at(cover, high[same], -1)
                 gone = np.cumsum(cover[:-1]) > 0
-                raw = w.data.tobytes()
                 kept_text, digests = [], []
                 for i in range(part.num_rows):
-                    a, b = w.first[i], w.first[i + 1]
-                    live = np.flatnonzero(~gone[a:b]) + a
-                    text = b" ".join([raw[s:e] for s, e in zip(w.start[live].tolist(), w.end[live].tolist())])
+                    a, b = int(w.first[i]), int(w.first[i + 1])
+                    if gone[a:b].any():
+                        live = np.flatnonzero(~gone[a:b]) + a
+                        text = b" ".join([view[s:e] for s, e in zip(at[live].tolist(), end[live].tolist())])
+                    else:
+                        text = bytes(view[at[a] : end[b - 1]]) if b > a else b""
                     kept_text.append(text.decode("utf-8", "replace"))
                     digests.append(hashlib.sha256(text).hexdigest())
                 n = np.diff(w.first)
-                removed = np.add.reduceat(np.append(gone, False), w.first[:-1]) * (n > 0) if part.num_rows else n
+                total = np.append(0, np.cumsum(gone))
+                removed = total[w.first[1:]] - total[w.first[:-1]]
                 yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(digests, pa.string()), pa.array(kept_text, pa.string())], names=["d", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
 
-def repeated_spans(documents: DataFrame, window: int = WINDOW, edge: int = EDGE) -> tuple[DataFrame, DataFrame]:
-    """The documents (d, text) and, for each, the packed spans that start earlier in a document of smaller id."""
-    docs = documents.select(doc_key("doc_id").alias("d"), F.col("text"))
-    paths = docs.mapInArrow(_paths_of(window, edge), "edge bigint, path bigint, d bigint, at bigint")
-    met = paths.groupBy("edge").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.min("path").alias("p0"), F.max("path").alias("p1"))
-    met = met.where("first < last").select("edge", "first", (F.col("p0") != F.col("p1")).alias("branches"))
-    hit = cut(paths.join(met, "edge").where("branches OR d > first"))
-    straight = hit.where("NOT branches").select("d", "at")
-    fork = hit.where("branches").select("edge", "path", "d", "at")
-    lead = fork.groupBy("edge", "path").agg(F.min("d").alias("lead"))
-    fork = fork.join(lead, ["edge", "path"])
-    follow = fork.where("d > lead").select("d", "at")
-    span = F.col("at") + window  # a path's packed length becomes that of its words
-    asked = fork.where("d = lead").groupBy("d").agg(F.collect_list("at").alias("at"))
-    opened = cut(docs.join(asked, "d").mapInArrow(_windows_of(window, edge), "edge bigint, window bigint, d bigint, at bigint"))
-    seen = opened.groupBy("edge", "window").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("edge", "window", "first")
-    single = opened.join(seen, ["edge", "window"]).where("d > first").select("d", "at")
-    gone = straight.unionByName(follow).select("d", span.alias("at")).unionByName(single)
-    return docs, gone
+def compacted(links: DataFrame) -> DataFrame:
+    """(v, root) for links (u, v) of paths without branches or cycles: root is the path's first element. Pointer doubling, a join a round."""
+    paths = cut(links.select("v", F.col("u").alias("root"), F.lit(False).alias("done")))
+    while not (live := paths.where("NOT done")).isEmpty():
+        ahead = paths.select(F.col("v").alias("at"), F.col("root").alias("to"))
+        moved = live.join(ahead, live["root"] == ahead["at"], "left").select("v", F.coalesce("to", "root").alias("root"), F.col("to").isNull().alias("done"))
+        paths = cut(paths.where("done").unionByName(moved))
+    return paths.select("v", "root")
+
+
+def elements(docs: DataFrame, window: int, edge: int) -> DataFrame:
+    """(id, d, tag, single, low, high) of the graph's elements in every document: the windows low..high. single: an opened window."""
+    pieces = docs.mapInArrow(_pieces_of(window, edge), "edge bigint, piece bigint, d bigint, at bigint")
+    met = pieces.groupBy("edge").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("edge")
+    hit = cut(pieces.join(met, "edge"))
+    kinds = cut(hit.groupBy("edge", "piece").agg(F.min("d").alias("lead"), F.max("d").alias("last")))
+    forks = kinds.groupBy("edge").agg(F.count("*").alias("n")).where("n > 1").select("edge", F.lit(True).alias("fork"))
+    hit = cut(hit.join(kinds.join(forks, "edge", "left"), ["edge", "piece"]).where("fork OR lead < last"))
+    at = F.col("at")
+    tag = F.shiftright(at, 41)
+    asked = hit.where("fork AND d = lead").groupBy("d", tag.alias("tag")).agg(F.collect_list("at").alias("asked"))
+    opened = cut(docs.join(asked, ["d", "tag"]).select("d", "tag", "text", "asked").mapInArrow(_windows_of(window, edge), "edge bigint, piece bigint, d bigint, at bigint"))
+    seen = opened.groupBy("edge", "piece").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("edge", "piece")
+    low = F.shiftright(at, 11).bitwiseAND(2**30 - 1) - F.shiftright(at, 6).bitwiseAND(31)
+
+    def shaped(rows: DataFrame, single: bool) -> DataFrame:
+        key = F.xxhash64("edge", "piece", F.lit(single))
+        return rows.select(key.alias("id"), "d", tag.alias("tag"), F.lit(single).alias("single"), low.alias("low"), (low + at.bitwiseAND(63)).alias("high"))
+
+    return cut(shaped(hit.where("lead < last"), False).unionByName(shaped(opened.join(seen, ["edge", "piece"]), True)))
+
+
+def unbranched(found: DataFrame) -> DataFrame:
+    """Links (u, v) over nodes that do not branch: v is what follows u, and u what precedes v, in every document that holds them."""
+    order = W.partitionBy("d", "tag", "single").orderBy("low")
+
+    def beside(step, touches: Column) -> Column:
+        return F.coalesce(F.when(touches, step("id").over(order)), F.lit(0))  # 0: an end of the repeat
+
+    near = found.select("id", beside(F.lead, F.lead("low").over(order) == F.col("high") + 1).alias("after"), beside(F.lag, F.lag("high").over(order) == F.col("low") - 1).alias("before"))
+    nodes = cut(near.groupBy("id").agg(F.min("after").alias("a0"), F.max("after").alias("a1"), F.min("before").alias("b0"), F.max("before").alias("b1")))
+    out = nodes.where("a0 = a1 AND a0 <> 0").select(F.col("id").alias("u"), F.col("a0").alias("v"))
+    into = nodes.where("b0 = b1 AND b0 <> 0").select(F.col("b0").alias("u"), F.col("id").alias("v"))
+    return out.join(into, ["u", "v"])
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) -> DataFrame:
+    """(d, tag, low, n, digest): spans of n words that a document of smaller id holds too, and the hash of the words there."""
+    found = elements(docs, window, edge)
+    roots = compacted(unbranched(found))
+    whole = found.join(roots, found["id"] == roots["v"], "left").groupBy("d", "tag", F.coalesce("root", "id").alias("path"))
+    spans = cut(whole.agg(F.min("low").alias("low"), (F.max("high") - F.min("low") + window).alias("n")))
+    lead = spans.groupBy("path").agg(F.min("d").alias("lead"), F.max("d").alias("last")).where("lead < last").select("path", "lead")
+    spans = cut(spans.join(lead, "path"))
+    asked = spans.where("d = lead").groupBy("d", "tag").agg(F.collect_list(F.struct("path", "low", "n")).alias("asked"))
+    source = cut(docs.join(asked, ["d", "tag"]).select("text", "asked").mapInArrow(_sources, "path bigint, digest binary").distinct())
+    return spans.where("d > lead").join(source, "path").select("d", "tag", "low", "n", "digest")
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, edge: int = EDGE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text: each word covered by a window whose words also start earlier is removed."""
     if not edge <= window <= 20 or window - edge > 14:
-        raise ValueError("a packed span holds windows of 20 words at most and 15 edges")
-    docs, gone = repeated_spans(documents, window, edge)
-    spans = gone.groupBy("d").agg(F.collect_list("at").alias("gone"))
-    rows = docs.join(spans, "d", "left").select("d", "text", F.coalesce("gone", F.array().cast("array<bigint>")).alias("gone"))
+        raise ValueError("a packed place holds windows of 20 words at most and 15 k-mers")
+    docs = documents.select(doc_key("doc_id").alias("d"), F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 42).alias("tag"), "text")
+    spans = repeated_spans(docs, window, edge).groupBy("d", "tag").agg(F.collect_list(F.struct("low", "n", "digest")).alias("gone"))
+    none = F.array().cast("array<struct<low:bigint,n:bigint,digest:binary>>")
+    rows = docs.join(spans, ["d", "tag"], "left").select("d", "text", F.coalesce("gone", none).alias("gone"))
     done = rows.mapInArrow(_cut_out(window), "d bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
     return done.select(from_key("d").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
 
