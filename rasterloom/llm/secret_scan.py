@@ -1,8 +1,11 @@
 """Incremental secret scanning over a ledger of content-addressed blobs, in DataFrame operations only.
 
-Every version of every path is addressed by the SHA-256 of its content. A scan looks only at
-(blob, rule version) pairs that the ledger lacks, once however many paths hold the blob, and joins
-what it finds back to all paths.
+Every version of every path is addressed by the SHA-256 of its content. The ledger is a Parquet folder with a row for each blob and
+scan: the rules (with versions) that were run, and the spans they found. A scan runs a rule on a blob only if no row of the ledger
+has that pair, once however many paths hold the blob, appends what it ran, and joins
+what the ledger holds back to all paths.
+
+A pattern's matches and the gaps between them become rows with a running sum of lengths, so a text's cost is linear in its length and matches.
 
 Defined results: null text is the empty text, which has no spans; repeated rows and rows that share
 an id each get a row; a null id stays null; an empty table gives an empty result; columns other than
@@ -13,10 +16,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few_files, new_folder
 
 
 @dataclass(frozen=True)
@@ -51,67 +55,77 @@ RULES = (
 #: To skip texts that can't match: cheaper than the pattern itself.
 _HINT = {"hex": "[0-9a-f]{24}"}
 
-SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+#: Places in code points; from and to are places in bytes.
+SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,from:bigint,to:bigint>>"
+LEDGER = "blob string, rules array<string>, spans array<struct<rule:string,start:bigint,end:bigint,from:bigint,to:bigint>>"
+#: Where queries keep their ledger between runs; unset, a run starts its own in the shared folder.
+LEDGER_CONF = "spark.rasterloom.secrets.ledger"
+LENGTHS = "array<struct<gap:bigint,own:bigint,gap_bytes:bigint,own_bytes:bigint,long:boolean>>"
 
 
-def spans_of(text: Column, rule: Rule, rank: int) -> Column:
-    """Spans of a rule in code points. What split() leaves between matches gives their places."""
+def lengths_of(text: Column, rule: Rule) -> Column:
+    """Of each match of a rule the lengths of the gap before it and of itself; empty without matches. What split() leaves is the gaps."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
     gaps = F.split(text, rule.pattern, -1)
-    lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("own")))
-    lengths = F.zip_with(lengths, value, lambda a, v: F.struct(a["gap"].alias("gap"), a["own"].alias("own"), (F.length(v) >= rule.least).alias("long")))
-    empty = F.lit(None).cast(SPAN)
-    walked = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["own"]).alias("at"),
-            F.when(
-                x["long"],
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (acc["at"] + x["gap"] + x["own"]).alias("end")))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(text.rlike(_HINT.get(rule.kind, rule.pattern)), walked).otherwise(F.coalesce(empty, F.array().cast(SPAN)))
+    sizes = lambda x: (F.length(x).cast("bigint"), F.octet_length(x).cast("bigint"))
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(sizes(g)[0].alias("gap"), sizes(m)[0].alias("own"), sizes(g)[1].alias("gap_bytes"), sizes(m)[1].alias("own_bytes")))
+    whole = F.zip_with(pairs, value, lambda a, v: F.struct(a["gap"].alias("gap"), a["own"].alias("own"), a["gap_bytes"].alias("gap_bytes"), a["own_bytes"].alias("own_bytes"), (F.length(v) >= rule.least).alias("long")))
+    return F.when(text.rlike(_HINT.get(rule.kind, rule.pattern)), whole).otherwise(F.array().cast(LENGTHS))
 
 
 @dataclass
 class Scan:
-    """findings: (path columns, blob, spans) for each version of a path; fresh: ledger rows to append."""
+    """findings: (path, blob, spans) for each version of a path; fresh: the ledger rows that the scan appended."""
 
     findings: DataFrame
     fresh: DataFrame
 
 
-def scan_history(versions: DataFrame, path: str, content: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> Scan:
-    """Scans versions (any rows of a path and its content) against a ledger (blob, rule, spans).
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger's rows; none where the folder doesn't exist yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(folder)
+
+
+def scan_history(versions: DataFrame, path: str, content: str, folder: str | None = None, rules: tuple[Rule, ...] = RULES) -> Scan:
+    """Scans versions (any rows of a path and its content) against the ledger in a folder, and appends to it.
 
-    A blob is scanned for those rules only whose (blob, rule version) the ledger lacks. Each
-    distinct blob is represented by one row, so copies move no text and are scanned once.
+    Each blob is read from one row of the path of least text, so copies move no text and are scanned once; a rule is evaluated for a blob only if the ledger lacks the pair.
     """
-    text = F.coalesce(F.col(content), F.lit(""))
-    rows = versions.select(F.col(path).alias("path"), text.alias("content")).withColumn("blob", F.sha2(F.col("content"), 256))
-    unseen = rows.groupBy("blob").agg(F.min("path").alias("path"))
-    wanted = None
-    if ledger is not None:
-        known = ledger.where(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("known"))
-        unseen = unseen.join(known, "blob", "left").where(F.coalesce(F.size("known"), F.lit(0)) < len(rules))
-        wanted = unseen.select("blob", F.coalesce("known", F.array().cast("array<string>")).alias("known"))
-    picked = unseen.select(F.col("path").alias("p"), F.col("blob").alias("b"))
-    blobs = rows.join(picked, rows["path"].eqNullSafe(picked["p"]) & (rows["blob"] == picked["b"]), "left_semi").select("blob", "content")
-    flat = [F.struct(F.lit(r.key).alias("rule"), spans_of(F.col("content"), r, i).alias("spans")) for i, r in enumerate(rules)]
-    # Written, as a ledger is: each blob is scanned once, and the join to the paths gets plain exchanges, whose hot blobs Spark can split.
-    done = cut(blobs.select("blob", F.array(*flat).alias("found")).dropDuplicates(["blob"]))
-    if wanted is not None:
-        done = done.join(wanted, "blob").select("blob", F.filter("found", lambda x: ~F.array_contains(F.col("known"), x["rule"])).alias("found"))
-    fresh = done.select("blob", F.explode("found").alias("x")).select("blob", "x.rule", "x.spans")
-    own = done.select("blob", F.flatten(F.transform("found", lambda x: x["spans"])).alias("spans")).where(F.size("spans") > 0)
-    if ledger is not None:
-        old = ledger.where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0)).select("blob", "spans")
-        own = own.unionByName(old).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    own = own.select("blob", F.array_sort("spans").alias("spans"))
+    spark = versions.sparkSession
+    folder = folder or spark.conf.get(LEDGER_CONF, None) or new_folder(spark, "secret-ledger")
+    keys = [r.key for r in rules]
+    ledger = read_ledger(spark, folder)
+    rows = versions.select(F.col(path).alias("path"), F.coalesce(F.col(content), F.lit("")).alias("content"))
+    rows = rows.withColumn("blob", F.sha2(F.col("content"), 256)).withColumn("pick", F.coalesce(F.col("path").cast("string"), F.lit("")))
+    unseen = rows.groupBy("blob").agg(F.min("pick").alias("pick"))
+    known = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("known"))
+    unseen = unseen.join(known, "blob", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    unseen = unseen.where(~F.forall(F.array(*map(F.lit, keys)), lambda k: F.array_contains("known", k)))
+    # One row of a blob: those of one path and one content are alike.
+    blobs = rows.select("pick", "blob", "content").join(unseen, ["pick", "blob"]).dropDuplicates(["pick", "blob"])
+    lacks = lambda r: ~F.array_contains("known", r.key)
+    found = [F.struct(F.lit(r.key).alias("rule"), F.when(lacks(r), lengths_of(F.col("content"), r)).alias("x")) for r in rules]
+    run = F.filter(F.array(*[F.when(lacks(r), F.lit(r.key)) for r in rules]), lambda k: k.isNotNull())
+    # Written: each pair is scanned once, and the joins get plain exchanges, whose hot blobs Spark can split.
+    done = cut(blobs.select("blob", run.alias("rules"), F.filter(F.array(*found), lambda f: F.size(F.coalesce(f["x"], F.array().cast(LENGTHS))) > 0).alias("found")))
+    match = done.select("blob", F.explode("found").alias("f")).select("blob", F.col("f.rule").alias("rule"), F.posexplode("f.x").alias("i", "x"))
+    so_far = W.partitionBy("blob", "rule").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    match = match.withColumn("end", F.sum(F.col("x.gap") + F.col("x.own")).over(so_far)).withColumn("to", F.sum(F.col("x.gap_bytes") + F.col("x.own_bytes")).over(so_far))
+    span = F.struct("rule", (F.col("end") - F.col("x.own")).alias("start"), "end", (F.col("to") - F.col("x.own_bytes")).alias("from"), "to")
+    spans = match.where("x.long").groupBy("blob").agg(F.collect_list(span).alias("spans"))
+    fresh = done.select("blob", "rules").join(spans, "blob", "left").select("blob", "rules", F.coalesce("spans", F.array()).alias("spans"))
+    fresh = cut(fresh.select("blob", "rules", F.col("spans").cast(LEDGER.rpartition("spans ")[2]).alias("spans")))
+    few_files(fresh).write.mode("append").parquet(folder)
+    known = ledger.unionByName(fresh)  # not the folder, to which others may append meanwhile
+    own = F.filter("spans", lambda s: s["rule"].isin(keys))
+    rank = lambda s: F.array_position(F.array(*map(F.lit, keys)), s["rule"]).cast("int") - 1
+    kind = lambda s: F.element_at(F.array(*[F.lit(r.kind) for r in rules]), rank(s) + 1)
+    shaped = F.transform(own, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), kind(s).alias("kind"), s["end"].alias("end"), s["from"].alias("from"), s["to"].alias("to")))
+    own = known.select("blob", shaped.alias("spans")).where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     findings = rows.select("path", "blob").join(own, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
     return Scan(findings, fresh)
 
@@ -139,21 +153,24 @@ def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     # The blob's own text is masked, so the spans are joined by content and not by id.
     rows = documents.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    spans = scan_history(documents, "doc_id", "text", rules=rules).findings.where(F.size("spans") > 0).select(F.col("blob").alias("_b"), F.col("spans").alias("_spans")).dropDuplicates(["_b"])
-    rows = rows.join(spans, F.col("_blob") == F.col("_b"), "left")
-    masked = F.aggregate(
-        F.col("_spans"),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda acc, x: F.when(
-            x["start"] >= acc["at"],
-            F.struct(x["end"].alias("at"), F.concat(acc["parts"], F.array(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.concat(F.lit("["), x["kind"], F.lit("]")))).alias("parts")),
-        ).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["parts"].alias("parts"))),
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))),
-    )
-    text = F.when(F.col("_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(masked)
-    out = rows.withColumn("text", text)
+    found = scan_history(documents, "doc_id", "text", rules=rules).findings.where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
+    span = found.select("blob", F.posexplode("spans").alias("i", "s")).select("blob", "i", "s.*")
+    before = W.partitionBy("blob").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    # A span opens a mask if all before it end by then; a mask ends where the last of its spans does.
+    span = span.withColumn("opens", (F.col("from") >= F.coalesce(F.max("to").over(before), F.lit(0))).cast("int"))
+    span = span.withColumn("mask", F.sum("opens").over(W.partitionBy("blob").orderBy("i")))
+    masks = span.groupBy("blob", "mask").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.min_by("kind", "i").alias("kind"))
+    masks = masks.groupBy(F.col("blob").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("from", "to", "kind"))).alias("_masks"))
+    rows = rows.join(masks, F.col("_blob") == F.col("_b"), "left")
+    raw, n = F.col("text").cast("binary"), F.size("_masks")
+    # substring() of bytes copies its own part only, so a text is masked in time linear in its length.
+    last = lambda i: F.when(i > 0, F.element_at("_masks", i)["to"]).otherwise(F.lit(0))
+    piece = lambda at, to: F.substring(raw, (at + 1).cast("int"), (to - at).cast("int")).cast("string")
+    parts = F.transform("_masks", lambda m, i: F.concat(piece(last(i), m["from"]), F.lit("["), m["kind"], F.lit("]")))
+    masked = F.concat(F.array_join(parts, ""), piece(F.element_at("_masks", n)["to"], F.octet_length("text")))
+    out = rows.withColumn("text", F.when(F.col("_masks").isNull() | F.col("text").isNull(), F.col("text")).otherwise(masked))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
+        out = out.withColumn("n_chars", F.when(F.col("_masks").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(documents.schema["n_chars"].dataType)))
     return out.select(documents.columns)
 
 
