@@ -1,13 +1,13 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Coarse centroids and codebooks are fitted by k-means on at most `sample` vectors (those of least id hash). Every vector is indexed: its cell is the
-nearest centroid, its code the nearest codeword of each subspace of what is left. A query looks into its `probes` share of
-nearest cells; an asymmetric distance table (query minus centroid against the codewords) sums up the distance to each code, the best
-`rerank` codes of a query are kept, and the exact double-precision distance on the original vectors decides.
+nearest centroid, its code the nearest codeword of each subspace of what is left. The lists of the inverted file lie in shelves: whole cells
+next to each other in number up to `shelf` codes, a cell beyond that dealt out over several shelves by hash of id, so a crowded cell is no crowded task. A query goes to
+the shelves that hold one of its `probes` share of nearest cells, and there to the lists of those cells only; an asymmetric distance table (query minus centroid against
+the codewords) sums up the distance to each code, the best `rerank` codes of a query are kept, and the exact double-precision distance on the
+original vectors decides. Queries go in chunks; each meeting of a chunk and a shelf returns its best candidates only.
 
-Vectors of equal content are indexed once, with the k + 1 least ids that hold it: no query can return more of them. The index lies in blocks of bounded
-size: a cell is dealt out over as many blocks as its vectors need, so a crowded cell is no crowded task. The stated queries meet the blocks in
-chunks; each meeting returns its best candidates only.
+Vectors of equal content are indexed once, with the k + 1 least ids that hold it: no query can return more of them.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another dimension than most, and rows with a null id take no part, neither as query nor as
 candidate; rows that share an id are candidates each, and never of their own id's query; ties go to the smaller id; an
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SAMPLE, SUBSPACES, CODEWORDS, PROBES, RERANK, BLOCK, CHUNK = 20_000, 16, 256, 0.6, 300, 32_768, 256
+SAMPLE, SUBSPACES, CODEWORDS, PROBES, RERANK, SHELF, CHUNK = 20_000, 16, 256, 0.6, 300, 16_384, 64
 
 
 def kmeans(x: np.ndarray, k: int, steps: int, seed: int) -> np.ndarray:
@@ -70,13 +70,18 @@ class Index:
         width = self.books.shape[2]
         return cell, np.stack([nearest(rest[:, s * width : (s + 1) * width], b) for s, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
-    def search(self, queries: np.ndarray, ids: np.ndarray, cells: np.ndarray, codes: np.ndarray, probes: float, keep: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of a block of codes, the keep best (id, squared asymmetric distance) of each query."""
-        q = self.padded(queries)
+    def probed(self, queries: np.ndarray, probes: float) -> np.ndarray:
+        """Queries x cells: whether the cell is one of the query's nearest."""
         m = max(1, min(len(self.coarse), int(np.ceil(len(self.coarse) * probes))))
-        far = (self.coarse**2).sum(axis=1) - 2 * q @ self.coarse.T
+        far = (self.coarse**2).sum(axis=1) - 2 * self.padded(queries) @ self.coarse.T
         wanted = np.zeros(far.shape, bool)
         np.put_along_axis(wanted, np.argpartition(far, m - 1, axis=1)[:, :m], True, axis=1)
+        return wanted
+
+    def search(self, queries: np.ndarray, ids: np.ndarray, cells: np.ndarray, codes: np.ndarray, probes: float, keep: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of the lists of some cells, the keep best (id, squared asymmetric distance) of each query among the cells it probes."""
+        q = self.padded(queries)
+        wanted = self.probed(queries, probes)
         order = np.argsort(cells, kind="stable")
         ids, cells, codes = ids[order], cells[order], codes[order]
         own, first = np.unique(cells, return_index=True)
@@ -89,7 +94,7 @@ class Index:
             if not len(who):
                 continue
             rest = (q[who] - self.coarse[c]).reshape(len(who), len(self.books), width)
-            table = square[None] - 2 * np.einsum("qsw,skw->qsk", rest, self.books)
+            table = square[None] - 2 * np.matmul(rest.transpose(1, 0, 2), self.books.transpose(0, 2, 1)).transpose(1, 0, 2)
             total = (rest**2).sum(axis=(1, 2))[:, None]
             for s in range(len(self.books)):
                 total = total + table[:, s][:, codes[a:b, s]]
@@ -134,12 +139,29 @@ def valid_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "em
     return rows.where(F.size("v") == (common["n"] if common else 0))
 
 
-def search(table: DataFrame, queries: F.Column, k: int = 10, sample: int = SAMPLE, probes: float = PROBES, rerank: int = RERANK) -> DataFrame:
+def shelves(sizes: dict[int, int], shelf: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """Of each cell the first shelf and how many shelves it has, and the number of shelves. Small cells share one, whose codes are `shelf` at most."""
+    out, last, room = {}, -1, 0
+    for cell, n in sorted(sizes.items()):
+        if n > shelf:
+            parts = -(-n // shelf)
+            out[cell] = (last + 1, parts)
+            last, room = last + parts, 0
+        else:
+            if n > room:
+                last, room = last + 1, shelf
+            out[cell] = (last, 1)
+            room -= n
+    return out, last + 1
+
+
+def search(table: DataFrame, queries: F.Column, k: int = 10, sample: int = SAMPLE, probes: float = PROBES, rerank: int = RERANK, shelf: int = SHELF) -> DataFrame:
     """query_id, rank, vec_id, score: for the vectors whose `id` satisfies queries, their k nearest found among all others."""
     spark = table.sparkSession
     rows = valid_vectors(table)
-    ranked = rows.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("id"))).withColumn("rep", F.min("id").over(W.partitionBy("v")))
-    members = cut(ranked.where(F.col("n") <= k + 1))
+    # The limit on the rank alone goes before the shuffle: of a common vector every task sends k + 1 rows at most.
+    members = rows.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
+    members = cut(members.withColumn("rep", F.min("id").over(W.partitionBy("v"))))
     reps = members.where("n = 1").select("id", "v")
     total = reps.count()
     if not total:
@@ -149,32 +171,56 @@ def search(table: DataFrame, queries: F.Column, k: int = 10, sample: int = SAMPL
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                cell, code = index.value.encode(_matrix(batch.column("v")))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary())], names=["id", "cell", "code"])
-
-    n_blocks = -(-total // BLOCK)
-    coded = reps.mapInArrow(encode, "id bigint, cell int, code binary")
-    blocks = coded.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("id", "cell", "code")).alias("codes"))
-    asked = rows.where(queries).distinct()
-    n_asked = asked.count()
-    n_chunks = max(1, -(-n_asked // CHUNK))
-    chunks = asked.withColumn("chunk", F.pmod(F.xxhash64("id", "v"), F.lit(n_chunks)).cast("int")).groupBy("chunk").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-    chunks = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                cell, code = index.value.encode(_matrix(part.column("v")))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary())], names=["id", "cell", "code"])
+
+    coded = cut(reps.mapInArrow(encode, "id bigint, cell int, code binary"))
+    place, n_shelves = shelves({r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}, shelf)  # a row for each centroid
+    # A few shelves are dealt out to several tasks by repeating them for parts of the queries.
+    asked = cut(rows.where(queries).distinct())
+    n_chunks = max(1, -(-asked.count() // CHUNK))
+    turns = max(1, min(n_chunks, 64 // n_shelves))
+    deal = max(1, min(n_shelves * turns, 8192))
+    where_, parts = F.create_map(*[F.lit(x) for c, (a, _) in place.items() for x in (c, a)]), F.create_map(*[F.lit(x) for c, (_, n) in place.items() for x in (c, n)])
+    shelved = coded.withColumn("shelf", (where_[F.col("cell")] + F.pmod(F.xxhash64("id"), parts[F.col("cell")].cast("bigint"))).cast("int"))
+    shelved = shelved.groupBy("shelf").agg(F.collect_list(F.struct("id", "cell", "code")).alias("codes"))
+    shelved = shelved.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))).repartition(deal, "shelf", "turn")
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query once for each shelf that holds a cell it probes."""
+        spans = np.array([place.get(c, (0, 0)) for c in range(len(index.value.coarse))])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                wanted = index.value.probed(_matrix(part.column("v")), probes) & (spans[:, 1] > 0)
+                q, c = np.nonzero(wanted)
+                times = spans[c, 1]
+                on = np.repeat(spans[c, 0], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                pair = np.unique(np.repeat(q, times) * n_shelves + on)
+                who = pa.array(pair // n_shelves)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(who), part.column("v").take(who), pa.array((pair % n_shelves).astype(np.int32))], names=["id", "v", "shelf"])
+
+    chunk = F.pmod(F.xxhash64("id", "v"), F.lit(n_chunks)).cast("int")
+    chunks = asked.mapInArrow(route, "id bigint, v array<float>, shelf int").groupBy("shelf", chunk.alias("chunk")).agg(F.collect_list(F.struct("id", "v")).alias("asked"))
+    chunks = chunks.withColumn("turn", F.col("chunk") % turns).repartition(deal, "shelf", "turn")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 q, c = batch.column("asked")[i].values, batch.column("codes")[i].values
                 codes = np.frombuffer(b"".join(c.field("code").to_pylist()), np.uint8).reshape(len(c), -1)
+                ids, cells, who = c.field("id").to_numpy(), c.field("cell").to_numpy(), q.field("id").to_numpy()
                 vectors = _matrix(q.field("v"))
-                found = index.value.search(vectors, c.field("id").to_numpy(), c.field("cell").to_numpy(), codes, probes, rerank)
-                sizes = [len(x[0]) for x in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q.field("id").to_numpy(), sizes)), pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))], names=["query_id", "rep", "near"]
-                )
-
-    met = chunks.join(blocks, "block").select("asked", "codes").mapInArrow(meet, "query_id bigint, rep bigint, near double")
+                for at in range(0, len(who), CHUNK):
+                    found = index.value.search(vectors[at : at + CHUNK], ids, cells, codes, probes, rerank)
+                    sizes = [len(x[0]) for x in found]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(who[at : at + CHUNK], sizes)), pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))], names=["query_id", "rep", "near"]
+                    )
+
+    met = chunks.join(shelved.hint("merge"), ["shelf", "turn"]).select("asked", "codes").mapInArrow(meet, "query_id bigint, rep bigint, near double")
     best = met.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("near", "rep"))).where(F.col("n") <= rerank).select("query_id", "rep")
     square = F.aggregate(F.zip_with("q", "v", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     near = best.join(members.select("rep", "id", "v"), "rep").where("id <> query_id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
