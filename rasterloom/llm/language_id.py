@@ -8,7 +8,7 @@ sum's mean.
 Chains are cut into blocks of 32 words whose transfer matrices are multiplied, so whole texts of any length are summed
 exactly and many blocks at once.
 
-Training takes the whole texts of at most `sample` documents with a language (those of least id hash), in sequences of at most 64 words; every third
+Training takes the whole texts of at most `sample` documents with a language (those of least id hash, within the bytes of training_sample()), in sequences of at most 64 words; every third
 sequence is joined with one of another document, so that transitions see changes of language.
 
 Defined results: null text, and text without a letter, is `und` with score 0; a null id is predicted like any other (held_out null); without training rows
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, words
+from .common import crc_mod, slices, training_sample, words
 
 SAMPLE, BINS, LEXICON, BLOCK, KEPT = 1200, 1 << 16, 4000, 32, 300_000
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&+=/\\-_~`^@0123456789"
@@ -267,9 +267,7 @@ def fit(rows: list[tuple[list[str], str]], epochs: int = 3, seed: int = 7) -> Fi
 def training_rows(documents: DataFrame, held_mod: int, held_rest: int, sample: int) -> list[tuple[list[str], str]]:
     """The bounded training sample: of the documents that are not held out and have a language, those of least id hash."""
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", held_mod) != held_rest))
-    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_id"))
-    found = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    return [(words(r["text"]), r["lang"]) for r in sorted(found.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"]))]
+    return [(words(r["text"]), r["y"]) for r in training_sample(rows.select("doc_id", "text", F.col("lang").cast("string").alias("y")), sample)]
 
 
 def predict_languages(documents: DataFrame, held_mod: int = 4, held_rest: int = 2, sample: int = SAMPLE) -> DataFrame:

@@ -3,21 +3,22 @@
 Domains are classes of the labelled table: toxic (toxic = 1), low (quality = 0), clean (the rest). A sparse linear classifier on hashed
 words and style predicts a document's posterior over the domains. A document's rate is how many times it is drawn; the expected
 tokens of domain k are sum(rate * tokens * posterior_k). Rates are fitted to the targets by projected-gradient least squares:
-every step takes the gradient of the squared difference between expected and wanted totals, in the metric of the second moments of the documents whose rate is above zero, and puts
+every step takes the gradient of the squared difference between expected and wanted totals, as it is or in the metric of the second moments of the documents whose rate is above zero, whichever leads nearer, and puts
 negative rates to zero. A step needs the documents' rates only in sums of one number per domain, so rates are an expression over the written table
 of tokens and posteriors and no document's rate leaves its executor. Without a total, the wanted total is what keeps the anchor domain at
 its present size.
 
-The classifier is fitted on at most `sample` labelled documents (those of least id hash).
+The classifier is fitted on at most `sample` labelled documents (those of least id hash, within the bytes of training_sample()).
 
 Defined results: null and empty texts have no tokens, posteriors that the classifier gives to nothing, and a rate all the same; without labels every
-posterior is uniform; a domain without tokens keeps its target unmet, the others' targets are met; a label row without
+posterior is uniform; a domain without tokens keeps its target unmet, which is flagged, the others' targets are met; a label row without
 toxic or quality counts as 0 and 1; repeated rows are each rated; a null id is rated like any text; an empty table gives an empty result;
 other columns are ignored by rates() and kept by apply_rates().
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, slices
+from .common import Words, cut, slices, training_sample
 from .style import N_STYLE, style
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.94, "low": 0.03, "toxic": 0.03}
-SAMPLE, BITS, STEPS = 8000, 17, 24
+SAMPLE, BITS, STEPS, TOLERANCE = 8000, 17, 24, 0.01
 _LEVELS = np.array([0.01, 0.03, 0.1, 0.3, 0.6, 1.0, 2.0])
 
 
@@ -60,10 +61,11 @@ class Classifier:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, sample: int) -> list:
+    """(id, text, number of the domain) of the bounded sample."""
     y = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.coalesce("toxic", F.lit(0))).alias("t"), F.min(F.coalesce("quality", F.lit(1))).alias("q"))
-    y = y.select("_id", F.when(F.col("t") == 1, 2).when(F.col("q") == 0, 1).otherwise(0).alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = documents.join(F.broadcast(y), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")
-    return sorted(((r["doc_id"], r["text"] or "", r["_y"]) for r in rows.toLocalIterator()), key=lambda r: r[0])
+    rows = documents.select("doc_id", "text").join(y, F.col("doc_id") == F.col("_id"))
+    rows = rows.select("doc_id", "text", F.when(F.col("t") == 1, 2).when(F.col("q") == 0, 1).otherwise(0).alias("y"))
+    return [(r["doc_id"], r["text"] or "", r["y"]) for r in training_sample(rows, sample)]
 
 
 def fit(rows: list, bits: int = BITS, epochs: int = 30, sparsity: float = 2e-4) -> Classifier:
@@ -127,41 +129,73 @@ def memberships(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint" + "".join(f", p_{d} double" for d in DOMAINS))
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "clean", total: float | None = None, steps: int = STEPS) -> tuple[F.Column, dict]:
-    """The rate of a row of members as an expression, and the wanted and expected totals.
+@dataclass
+class Fit:
+    """rate: an expression over rows of members. wanted: totals of the domains that have a target; expected: totals of all domains at these rates."""
+
+    rate: F.Column
+    wanted: dict[str, float]
+    expected: dict[str, float]
+
+    def met(self, tolerance: float = TOLERANCE) -> bool:
+        """Whether every target is met to a share of all wanted tokens."""
+        return all(abs(self.expected[d] - w) <= tolerance * sum(self.wanted.values()) for d, w in self.wanted.items())
 
-    Each step is one aggregation of a number per domain and pair of domains.
+
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "clean", total: float | None = None, steps: int = STEPS) -> Fit:
+    """Rates of the rows of members. Each step is one aggregation of a number per domain and pair of domains.
+
+    A target is a domain's share of the tokens of all domains that have one; it must be above zero, as soft posteriors give every domain some tokens. Domains without one are free.
     """
-    p = [F.col(f"p_{d}") for d in DOMAINS]
+    if anchor not in targets or min(targets.values()) <= 0 or not set(targets) <= set(DOMAINS):
+        raise ValueError("targets must be above zero, of known domains, and hold the anchor")
+    names = [d for d in DOMAINS if d in targets]
+    p = [F.col(f"p_{d}") for d in names]
     t = F.col("n_tokens")
-    k = len(DOMAINS)
-    moments = members.agg(*[F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)], *[F.sum(t * p[i]).alias(f"e{i}") for i in range(k)]).first()
-    gram = np.array([[moments[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-    have = np.array([moments[f"e{i}"] or 0.0 for i in range(k)])
-    share = np.array([targets.get(d, 0.0) for d in DOMAINS], float)
+    k = len(names)
+
+    def sums(rates: list[F.Column]) -> list[tuple[np.ndarray, np.ndarray, dict[str, float]]]:
+        """For each choice of rates the expected totals, the second moments of the rows whose rate is above zero, and all domains' totals; in one pass."""
+        rows = members.select("n_tokens", *[f"p_{d}" for d in DOMAINS], *[r.alias(f"_r{c}") for c, r in enumerate(rates)])
+        wanted = []
+        for c in range(len(rates)):
+            r = F.col(f"_r{c}")
+            wanted += [F.sum(t * F.col(f"p_{d}") * r).alias(f"e{c}_{d}") for d in DOMAINS]
+            wanted += [F.sum(F.when(r > 0, t * p[i] * p[j])).alias(f"g{c}_{i}_{j}") for i in range(k) for j in range(k)]
+        found = rows.agg(*wanted).first()
+        out = []
+        for c in range(len(rates)):
+            every = {d: found[f"e{c}_{d}"] or 0.0 for d in DOMAINS}
+            out.append((np.array([every[d] for d in names]), np.array([[found[f"g{c}_{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]), every))
+        return out
+
+    best = (F.lit(1.0), *sums([F.lit(1.0)])[0])
+    share = np.array([targets[d] for d in names], float)
     share = share / share.sum()
-    a = DOMAINS.index(anchor)
-    want = share * (total if total is not None else have[a] / max(share[a], 1e-12))
-    rate, now, scale = F.lit(1.0), have, 1.0
-    best = rate, now, gram
+    a = names.index(anchor)
+    want = share * (total if total is not None else best[1][a] / share[a])
+    safe = 1 / max(np.linalg.eigvalsh(best[2])[-1], 1e-300)
+    scaled, plain = 1.0, 1.0
     for _ in range(steps):
         miss = best[1] - want
         if np.abs(miss).sum() <= 1e-6 * max(want.sum(), 1):
             break
-        step = scale * np.linalg.pinv(best[2], rcond=1e-9, hermitian=True) @ miss
-        rate = F.greatest(F.lit(0.0), best[0] - sum(p[j] * float(step[j]) for j in range(k)))
-        live = members.withColumn("_rate", rate)
-        r = F.col("_rate")
-        sums = live.agg(*[F.sum(t * p[j] * r).alias(f"e{j}") for j in range(k)], *[F.sum(F.when(r > 0, t * p[i] * p[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
-        now = np.array([sums[f"e{j}"] or 0.0 for j in range(k)])
-        # A step that leads away is taken back and tried at half its length.
-        if np.abs(now - want).sum() < np.abs(miss).sum():
-            best = rate, now, np.array([[sums[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-            scale = min(1.0, 2 * scale)
+        # The gradient itself, and in the metric of the rows whose rate is above zero, each at a few lengths; the best of all is taken.
+        ahead = np.linalg.pinv(best[2], rcond=1e-9, hermitian=True) @ miss
+        tries = [(True, z, z * ahead) for z in (scaled, scaled / 4)] + [(False, z, z * safe * miss) for z in (plain / 4, plain, plain * 4)]
+        rates = [F.greatest(F.lit(0.0), best[0] - sum(p[j] * float(step[j]) for j in range(k))) for _, _, step in tries]
+        found = sums(rates)
+        off = [((now[0] - want) ** 2).sum() for now in found]
+        c = int(np.argmin(off))
+        if off[c] >= (miss**2).sum():
+            scaled, plain = scaled / 16, plain / 16
+            continue
+        best = (rates[c], *found[c])
+        if tries[c][0]:
+            scaled = min(1.0, 2 * tries[c][1])
         else:
-            scale /= 2
-    rate, now, _ = best
-    return rate, {"wanted": dict(zip(DOMAINS, want.tolist())), "expected": dict(zip(DOMAINS, now.tolist()))}
+            plain = tries[c][1]
+    return Fit(best[0], dict(zip(names, want.tolist())), best[3])
 
 
 def copies_of(rate: F.Column, key: F.Column, seed: int = 11) -> F.Column:
@@ -171,10 +205,12 @@ def copies_of(rate: F.Column, key: F.Column, seed: int = 11) -> F.Column:
 
 
 def rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, **options) -> DataFrame:
-    """doc_id, n_tokens, posteriors, rate and copies of every document."""
+    """doc_id, n_tokens, posteriors, rate and copies of every document, and on each row whether the targets are met; if not, a warning tells by how much."""
     members = cut(memberships(documents, labels))
-    rate, _ = fit_rates(members, targets, **options)
-    return members.withColumn("rate", rate).withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))
+    found = fit_rates(members, targets, **options)
+    if not found.met():
+        warnings.warn(f"mixing targets are not met: wanted {found.wanted}, expected {found.expected}", stacklevel=2)
+    return members.withColumn("rate", found.rate).withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"))).withColumn("targets_met", F.lit(found.met()))
 
 
 def apply_rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, **options) -> DataFrame:

@@ -6,7 +6,7 @@ vectors of the sample's matrix, scaled to length 1. Sample vectors and singular
 `bins` and `rank`. Every document meets every sample vector in exact blocked cosine products; the k most similar vote with their
 similarity (to a power) as weight. Neighbours that tie with the k-th all vote.
 
-The sample has at most `sample` labelled documents, those of least id hash. Everything else covers all rows.
+The sample has at most `sample` labelled documents, those of least id hash, within the bytes of training_sample(). Everything else covers all rows.
 
 Defined results: null and empty texts, like texts that are alike to no sample vector, score the sample's share of label 1; without labels every score is 0.5;
 a document with several labels takes the least; a null id is held in nothing and is scored like any text (held_out null);
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, crc_mod, slices
+from .common import Words, crc_mod, slices, training_sample
 from .style import N_STYLE, style
 
 SAMPLE, BINS, RANK, NEIGHBOURS, POWER, CUTOFF = 4000, 4096, 64, 25, 8, 0.3
@@ -73,11 +73,11 @@ class Model:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, held_mod: int, held_rest: int, sample: int) -> list:
-    """(text, label) of the bounded sample: labelled documents that are not held out, those of least id hash."""
+    """(id, text, label) of the bounded sample: labelled documents that are not held out, those of least id hash."""
     y = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (crc_mod("doc_id", held_mod) != held_rest))
-    y = y.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = documents.join(F.broadcast(y), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")
-    return sorted(((r["doc_id"], r["text"] or "", int(r["_y"] == 1)) for r in rows.toLocalIterator()), key=lambda r: r[0])
+    y = y.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("y"))
+    rows = documents.select("doc_id", "text").join(y, F.col("doc_id") == F.col("_id"))
+    return [(r["doc_id"], r["text"] or "", int(r["y"] == 1)) for r in training_sample(rows.select("doc_id", "text", "y"), sample)]
 
 
 def fit(rows: list, bins: int = BINS, rank: int = RANK, k: int = NEIGHBOURS, power: float = POWER) -> Model:

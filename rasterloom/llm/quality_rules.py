@@ -159,7 +159,9 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, error:
     """
     label = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_y"))
     rows = cut(measured.where(~base_failed()).join(label, F.col("doc_id") == F.col("_id")).withColumn("_y", (F.col("_y") == 1).cast("int")).drop("doc_id", "_id"))
-    good = {r["_stratum"]: r["count"] for r in rows.where("_y = 1").groupBy("_stratum").count().collect()}
+    # Strata of too few good labels to certify anything even alone stay away.
+    least = math.ceil(math.log(error / len(RULES)) / math.log1p(-risk / len(RULES)))
+    good = {r["_stratum"]: r["count"] for r in rows.where("_y = 1").groupBy("_stratum").count().where(F.col("count") >= least).collect()}
     exceeded = []
     for rule, (count, of, grid) in RULES.items():
         n = sum((100 * F.col(f"_{count}") > c * F.col(f"_{of}")).cast("int") for c in grid)
