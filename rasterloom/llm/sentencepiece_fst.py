@@ -1,27 +1,31 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The normaliser (dummy prefix, spaces to U+2581), the pieces and the byte fallback make one transducer; composed
-with a text it has a state for each (position, last piece) and an arc for each piece that ends there. The ids are the output of the
-shortest path in the tropical semiring.
+Three transducers are compiled from a model file and composed with each text. The normaliser's has the rules of the file's character map as a trie
+(the longest rule that matches a place rewrites it, anything else is copied), and the rules on white space: extra spaces, a dummy space
+before or after, spaces to U+2581. The pieces' is a trie with a state for each (position, last piece) and an arc for each piece that ends there. The byte fallback's gives a
+character without a piece its UTF-8 bytes' pieces. User-defined pieces pass the normaliser as they are. The ids are the output of the shortest path in the tropical semiring.
 
-- Unigram models: an arc weighs minus the piece's score.
+- Unigram models: an arc weighs minus the piece's score, in single precision as in the model's library, so that ties fall alike.
 - BPE models: their greedy merges have no additive piece weights. An arc weighs 0 if its piece may follow the last one and infinity if not:
   a segmentation is what merging gives if and only if merging leaves each of its pieces, and each two neighbours, as they are
   (a merge across a boundary would already happen in the two pieces by themselves). So exactly one path has finite weight, and every
-  position has one live state. Which pairs may meet is compiled on demand and kept.
+  position has one live state. Which pairs may meet is compiled on demand and kept. User-defined pieces are cut out first and meet any neighbour.
 
-A character without a piece goes to its UTF-8 bytes' pieces. No piece of the model may hold U+2581 after another character (checked
-at load), so the input is composed run by run, each of spaces and what follows up to the next space; frequent runs are kept.
-Text is never cut otherwise.
+In a BPE model where no piece holds U+2581 after another character, the input is composed run by run, each of spaces and what follows up to the next space; runs seen lately
+are kept, in tables of bounded size. Text is never cut otherwise.
 
-Defined results: null and empty texts have no ids and decode to the empty text; U+2581 in a text decodes to a space, as in the model's
+Defined results: null and empty texts have no ids and decode to the empty text; with the identity normaliser U+2581 in a text decodes to a space, as in the model's
 library; invalid ids are an error; a null id of a row stays null; repeated rows are each encoded; an empty table gives an empty result; other columns are
 ignored by encode_table() and kept by add_ids().
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import struct
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -31,15 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+_FLOAT = struct.Struct("f")
 _RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-KEPT = 400_000
+#: Entries of a table of runs, parts or pairs; a full one is emptied.
+KEPT = 100_000
+
+
+NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """What an encoder needs of a model file; its size is that of the vocabulary."""
+    """What an encoder needs of a model file; its size is that of the file. key tells models apart."""
 
     names: tuple[str, ...]
     scores: tuple[float, ...]
@@ -47,28 +58,143 @@ class Pieces:
     bpe: bool
     prefix: bool
     unknown: int
+    extra: bool = False
+    suffix: bool = False
+    escape: bool = True
+    charsmap: bytes = b""
+    fallback: bool = True
+    unknown_surface: str = " \u2047 "
+    key: str = ""
 
 
-def read_model(spark: SparkSession | None, path: str = MODEL) -> Pieces:
-    """Parses a model file, read through Spark where a session is given and the path has a scheme."""
+def read_model(spark: SparkSession | None, path: str | bytes = MODEL) -> Pieces:
+    """Parses a model file (or its bytes), read through Spark where a session is given and the path has a scheme."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
-    if spark is not None and "://" in path:
+    if isinstance(path, bytes):
+        data = path
+    elif spark is not None and "://" in path:
         data = bytes(spark.read.format("binaryFile").load(path).first()["content"])
     else:
         with open(path, "rb") as f:
             data = f.read()
     model = pb.ModelProto()
     model.ParseFromString(data)
-    spec = model.normalizer_spec
-    if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
-        raise ValueError("only models with the identity normaliser are supported")
-    if model.trainer_spec.model_type not in (1, 2):
+    spec, trained = model.normalizer_spec, model.trainer_spec
+    if trained.model_type not in (1, 2):
         raise ValueError("only unigram and BPE models are supported")
-    pieces = Pieces(tuple(p.piece for p in model.pieces), tuple(p.score for p in model.pieces), tuple(p.type for p in model.pieces), model.trainer_spec.model_type == 2, spec.add_dummy_prefix, model.trainer_spec.unk_id)
-    if any(SPACE in p.lstrip(SPACE) for p, t in zip(pieces.names, pieces.types) if t in (1, 4)):
-        raise ValueError("a piece holds a space after another character")
-    return pieces
+    types = tuple(p.type for p in model.pieces)
+    if trained.model_type == 2 and UNUSED in types:
+        raise ValueError("BPE models with unused pieces are not supported")
+    unknown = types.index(UNKNOWN)
+    return Pieces(
+        tuple(p.piece for p in model.pieces), tuple(p.score for p in model.pieces), types, trained.model_type == 2, spec.add_dummy_prefix, unknown,
+        spec.remove_extra_whitespaces, trained.treat_whitespace_as_suffix, spec.escape_whitespaces, bytes(spec.precompiled_charsmap), trained.byte_fallback, trained.unk_surface,
+        hashlib.blake2b(data, digest_size=16).hexdigest(),
+    )
+
+
+class Normaliser:
+    """The rewriting transducer: the character map's double-array trie, walked lazily, and the rules on white space."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+        self.user = _longest_first([s for s, t in zip(pieces.names, pieces.types) if t == USER])
+        self.units: array[int] = array("I")
+        self.text = b""
+        if pieces.charsmap:
+            size = int.from_bytes(pieces.charsmap[:4], "little")
+            self.units.frombytes(pieces.charsmap[4 : 4 + size])
+            if sys.byteorder == "big":
+                self.units.byteswap()
+            self.text = pieces.charsmap[4 + size :]
+        self.identity = not (pieces.charsmap or pieces.extra or pieces.suffix) and pieces.escape
+        self.plain: dict[str, bool] = {}
+
+    def _longest(self, raw: bytes) -> tuple[int, bytes] | None:
+        """The longest rule that starts a byte string: its length and what it writes."""
+        units, found = self.units, None
+        at = _offset(units[0])
+        for n, b in enumerate(raw, 1):
+            at ^= b
+            unit = units[at] if at < len(units) else 0
+            if unit & 0x800000FF != b:
+                break
+            at ^= _offset(unit)
+            if unit >> 8 & 1:
+                start = units[at] & 0x7FFFFFFF
+                found = n, self.text[start : self.text.index(b"\0", start)]
+        return found
+
+    def _starts_none(self, c: str) -> bool:
+        """Whether no rule begins with a character."""
+        ok = self.plain.get(c)
+        if ok is None:
+            units, at = self.units, _offset(self.units[0])
+            ok = False
+            for b in c.encode("utf-8", "surrogatepass"):
+                at ^= b
+                unit = units[at] if at < len(units) else 0
+                if unit & 0x800000FF != b:
+                    ok = True
+                    break
+                at ^= _offset(unit)
+            if len(self.plain) > KEPT:
+                self.plain.clear()
+            self.plain[c] = ok
+        return ok
+
+    def _rewritten(self, text: str) -> Iterator[str]:
+        """The text as the outputs of rules, copied characters and user-defined pieces."""
+        i, n = 0, len(text)
+        while i < n:
+            if self.user is not None and (m := self.user.match(text, i)):
+                yield m[0]
+                i = m.end()
+            elif not self.units or self._starts_none(text[i]):
+                yield text[i]
+                i += 1
+            else:
+                raw = text[i : i + 64].encode("utf-8", "surrogatepass")
+                found = self._longest(raw)
+                if found is None:
+                    yield text[i]
+                    i += 1
+                else:
+                    yield found[1].decode("utf-8", "replace")
+                    i += len(raw[: found[0]].decode("utf-8", "surrogatepass"))
+
+    def __call__(self, text: str) -> str:
+        p = self.pieces
+        space = SPACE if p.escape else " "
+        if self.identity:
+            return (space if p.prefix and text else "") + text.replace(" ", space)
+        out: list[str] = []
+        before = p.extra
+        for part in self._rewritten(text):
+            if before:
+                part = part.lstrip(" ")
+            if part:
+                out.append(part.replace(" ", space))
+                before = p.extra and part[-1] == " "
+        done = "".join(out)
+        if p.extra:
+            done = done.rstrip(space)
+        if not done:
+            return ""
+        return space + done if p.prefix and not p.suffix else done + space if p.prefix else done
+
+
+def _offset(unit: int) -> int:
+    return unit >> 10 << ((unit & 1 << 9) >> 6)
+
+
+def _longest_first(names: list[str]) -> re.Pattern | None:
+    return re.compile("|".join(map(re.escape, sorted(names, key=lambda s: (-len(s), s))))) if names else None
+
+
+def _single(x: float) -> float:
+    return _FLOAT.unpack(_FLOAT.pack(x))[0]
 
 
 @dataclass
@@ -80,22 +206,34 @@ class Transducer:
 
     def __post_init__(self) -> None:
         p = self.pieces
-        self.arcs = {s: i for i, (s, t) in enumerate(zip(p.names, p.types)) if t in (1, 4)}
-        self.bytes = {int(s[3:5], 16): i for i, (s, t) in enumerate(zip(p.names, p.types)) if t == 6}
+        self.normalise = Normaliser(p)
+        user = {s: i for i, (s, t) in enumerate(zip(p.names, p.types)) if t == USER}
+        self.arcs = {s: i for i, (s, t) in enumerate(zip(p.names, p.types)) if t == NORMAL or t == USER and not p.bpe}
+        #: User-defined pieces that are cut out before pieces are composed.
+        self.cut_out = {s: i for s, i in user.items() if p.bpe}
+        self.user = _longest_first(list(self.cut_out))
+        self.bytes = {int(s[3:5], 16): i for i, (s, t) in enumerate(zip(p.names, p.types)) if t == BYTE} if p.fallback else {}
         #: The arcs as a trie: each prefix of a piece, with the piece's number or -1.
         self.trie: dict[str, int] = {}
         #: Neighbouring characters within pieces. Between any others no piece reaches across.
         self.inner: set[str] = set()
-        for s, i in self.arcs.items():
+        for s in self.arcs:
             for n in range(1, len(s)):
                 self.trie.setdefault(s[:n], -1)
                 self.inner.add(s[n - 1 : n + 1])
         self.trie.update(self.arcs)
+        #: Whether runs can be composed apart. With scores they can't: how sums of single precision round, and so which of two even paths wins, depends on all that went before.
+        self.by_runs = p.bpe and not any(SPACE in s.lstrip(SPACE) for s in self.arcs) and not self.cut_out
         self.longest = max(map(len, self.arcs), default=1)
+        normal = [x for x, t in zip(p.scores, p.types) if t == NORMAL]
+        best, self.lowest = max(normal, default=0.0), _single(min(normal, default=0.0) - 10)
+        #: A user-defined piece weighs less than any path of other pieces over its bytes.
+        self.weight = [_single(len(s.encode()) * best - 0.1) if t == USER else x for s, x, t in zip(p.names, p.scores, p.types)]
         self.fits: dict[int, bool] = {}
         self.whole: list[bool | None] = [None] * len(p.names)
-        byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
-        self.output = [byte_of[i] if i in byte_of else b"" if t == 3 else " ⁇ ".encode() if t == 2 else s.replace(SPACE, " ").encode() for i, (s, t) in enumerate(zip(p.names, p.types))]
+        byte_of = {int(s[3:5], 16): i for i, (s, t) in enumerate(zip(p.names, p.types)) if t == BYTE}
+        raw = {i: bytes([b]) for b, i in byte_of.items()}
+        self.output = [raw[i] if i in raw else b"" if t == CONTROL else p.unknown_surface.encode() if t == UNKNOWN else s.replace(SPACE, " ").encode() for i, (s, t) in enumerate(zip(p.names, p.types))]
 
     def merge(self, text: str) -> list[str]:
         """Greedy merging of a short text: the best-scored neighbours first, the leftmost of equals."""
@@ -166,20 +304,29 @@ class Transducer:
         return out[::-1]
 
     def _path_unigram(self, run: str) -> list[int | str]:
-        scores, lowest = self.pieces.scores, min(self.pieces.scores) - 10
-        best = [0.0] + [float("inf")] * len(run)
-        back = [0] * (len(run) + 1)
-        for i in range(1, len(run) + 1):
-            for j in range(max(0, i - self.longest), i):
-                at = self.arcs.get(run[j:i])
-                cost = best[j] - (scores[at] if at is not None else lowest)
-                if (at is not None or j == i - 1) and cost < best[i]:
-                    best[i], back[i] = cost, j
+        weight, trie, n = self.weight, self.trie, len(run)
+        best: list[float | None] = [0.0] + [None] * n
+        back, last = [0] * (n + 1), [-1] * (n + 1)
+        for j in range(n):
+            here, single = best[j], False
+            for i in range(j + 1, min(n, j + self.longest) + 1):
+                t = trie.get(run[j:i])
+                if t is None:
+                    break
+                if t < 0:
+                    continue
+                single |= i == j + 1
+                total = _single(here + weight[t])
+                if best[i] is None or total > best[i]:
+                    best[i], back[i], last[i] = total, j, t
+            if not single:
+                total = _single(here + self.lowest)
+                if best[j + 1] is None or total > best[j + 1]:
+                    best[j + 1], back[j + 1], last[j + 1] = total, j, -1
         out: list[int | str] = []
-        i = len(run)
+        i = n
         while i:
-            t = run[back[i] : i]
-            out.append(self.arcs.get(t, t))
+            out.append(last[i] if last[i] >= 0 else run[back[i] : i])
             i = back[i]
         return out[::-1]
 
@@ -196,6 +343,8 @@ class Transducer:
 
     def run_ids(self, run: str) -> tuple[int, ...]:
         """Ids of a run, which is composed part by part where no piece reaches across."""
+        if not self.pieces.bpe:
+            return self.part_ids(run)
         inner, parts, at = self.inner, self.parts, 0
         out: tuple[int, ...] = ()
         for i in range(1, len(run) + 1):
@@ -224,42 +373,74 @@ class Transducer:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if self.pieces.prefix and text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text:
+        if self.by_runs and self.pieces.prefix and self.normalise.identity and text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text:
             runs = (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
         else:
-            runs = _RUN.findall((SPACE if self.pieces.prefix else "") + text.replace(" ", SPACE))
+            text = self.normalise(text)
+            runs = _RUN.findall(text) if self.by_runs else [text]
+        if self.user is not None:
+            return self._merged(chain.from_iterable(self._around(text)))
         found = list(map(self.kept.get, runs))
         if None in found:
             keep = self._keep
             found = [x if x is not None else keep(r) for x, r in zip(found, runs)]
-        return list(chain.from_iterable(found))
+        return self._merged(chain.from_iterable(found))
+
+    def _around(self, text: str) -> Iterator[tuple[int, ...]]:
+        """Ids between user-defined pieces and of these."""
+        at = 0
+        for m in self.user.finditer(text):
+            if m.start() > at:
+                yield self.run_ids(text[at : m.start()])
+            yield (self.cut_out[m[0]],)
+            at = m.end()
+        if at < len(text):
+            yield self.run_ids(text[at:])
+
+    def _merged(self, ids: Iterator[int]) -> list[int]:
+        """Without byte pieces a run of unknown characters is one unknown piece."""
+        if self.bytes:
+            return list(ids)
+        unknown = self.pieces.unknown
+        out: list[int] = []
+        for i in ids:
+            if i != unknown or not out or out[-1] != unknown:
+                out.append(i)
+        return out
 
     def decode(self, ids: list[int] | None) -> str:
         if not ids:
             return ""
-        out = b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "replace")
-        return out[1:] if self.pieces.prefix and out.startswith(" ") else out
+        p = self.pieces
+        out = list(map(self.output.__getitem__, ids))
+        if p.prefix or p.extra:
+            # The first piece that says anything loses its space; where extra spaces go, a piece of nothing but a space counts as saying nothing.
+            for n, i in enumerate(ids):
+                if p.types[i] == BYTE:
+                    break
+                spaced = p.types[i] not in (UNKNOWN, CONTROL) and out[n].startswith(b" ")
+                if spaced:
+                    out[n] = out[n][1:]
+                if out[n] or spaced and not p.extra:
+                    break
+        return b"".join(out).decode("utf-8", "replace")
 
 
-_built: dict[int, Transducer] = {}
+_built: dict[str, Transducer] = {}
 
 
-def _of(pieces) -> Transducer:
-    """One transducer for each broadcast and worker."""
-    if pieces.id not in _built:
+def _of(shared: _Shared) -> Transducer:
+    """One transducer for each worker and model, told apart by the model file's hash."""
+    if shared.key not in _built:
         _built.clear()
-        _built[pieces.id] = Transducer(pieces.value)
-    return _built[pieces.id]
+        _built[shared.key] = Transducer(shared.box.value)
+    return _built[shared.key]
 
 
 class _Shared:
     def __init__(self, spark: SparkSession, pieces: Pieces) -> None:
         self.box = spark.sparkContext.broadcast(pieces)
-        self.id = hash((len(pieces.names), pieces.names[-1], pieces.bpe))
-
-    @property
-    def value(self) -> Pieces:
-        return self.box.value
+        self.key = pieces.key
 
 
 def _lists(ids: list[list[int]]) -> pa.Array:
@@ -279,8 +460,7 @@ def add_ids(documents: DataFrame, text: str = "text", model: str = MODEL, check:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = _of(shared)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, text, 1 << 20):
                 texts = part.column(text).to_pylist()
                 ids = [fst.encode(t) for t in texts]
                 new = [pa.array([len(x) for x in ids], pa.int64()), _lists(ids)]
