@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from conftest import SF, same
 
-from rasterloom.llm import ann, html_extract, language_id, mixing, near_dedup, quality_knn, quality_rules, secret_scan, sentencepiece_fst, substring_dedup
+from rasterloom.llm import ann, common, html_extract, language_id, mixing, near_dedup, quality_knn, quality_rules, secret_scan, sentencepiece_fst, substring_dedup
 from rasterloom.llm.common import words
 from rasterloom.llm.queries import QUERIES, SQL
 
@@ -65,9 +65,10 @@ def brute_classes(ids, texts):
 
 
 def test_near_duplicates_are_all_found(docs):
-    rows = docs.select("doc_id", "text").collect()
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(docs).collect()}
-    assert got == brute_classes([r.doc_id for r in rows], [r.text for r in rows])
+    weighted = brute_weighted([r.text or "" for r in rows])
+    assert got == {r.doc_id: rows[weighted[i]].doc_id for i, r in enumerate(rows)}
 
 
 def test_near_duplicates_in_a_group_of_many_variants(spark):
@@ -87,6 +88,89 @@ def test_near_duplicates_in_a_group_of_many_variants(spark):
     assert {r.doc_id for r in kept.collect()} == set(got.values())
 
 
+def brute_weighted(texts):
+    """Classes by the weighted similarity of all pairs."""
+    bags = []
+    for t in texts:
+        w = words(t)
+        bags.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values()):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_weights_decide(spark):
+    """Texts alike by weight and not as sets, and the other way round."""
+    rng = np.random.default_rng(12)
+    phrase = "one phrase that is said again and again here "
+    texts = [phrase * 100 + " ".join(f"own{k}_{i}" for i in range(60)) for k in range(4)]
+    texts += [phrase * n + " ".join(f"same{i}" for i in range(80)) for n in (1, 2, 30, 31, 33)]
+    base = [f"w{i}" for i in range(100)]
+    for _ in range(25):
+        t = list(base)
+        for j in rng.choice(100, rng.integers(0, 6), replace=False):
+            t[j : j + 1] = t[j : j + 1] * int(rng.integers(1, 6))
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(df).collect()}
+    assert got == brute_weighted(texts) and got[3] == 0
+    plain = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(df, weighted=False).collect()}
+    assert plain == brute_classes(list(range(len(texts))), texts) and plain[3] == 3
+
+
+@pytest.mark.parametrize("stars", [0, 1])
+def test_blocks_find_what_rounds_leave(spark, stars, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(90):
+        t = list(base)
+        for j in rng.choice(150, 4 + i % 9, replace=False):
+            t[j] = f"x{rng.integers(1 << 30)}"
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(df, stars=stars).collect()}
+    assert got == brute_weighted(texts)
+
+
+def thue_morse(n):
+    """Two sequences that sums of powers of any one base modulo 2^64 can't tell apart."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_sequences_that_sums_confuse(spark):
+    x, y = thue_morse(11)
+    rows = [(1, x), (2, y), (3, " ".join(x)), (4, " ".join(y))]
+    filler = " ".join(f"f{i}" for i in range(19))
+    rows += [(5, f"{filler} {x}"), (6, f"{filler} {y}"), (7, f"{filler} {x} tail"), (8, f"{x} {y}"), (9, f"{y} {x}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.class_id == r.doc_id for r in near_dedup.near_duplicate_classes(df.where("doc_id IN (1, 2, 8, 9)")).collect())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == brute_repeats(rows)
+    assert got[6][1] == 0 and got[7][1] == 20
+
+
+def test_rows_that_share_an_id_join_their_classes(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b + " more"), (9, "else")], "doc_id long, text string")
+    assert {(r.doc_id, r.class_id) for r in near_dedup.near_duplicate_classes(df).collect()} == {(1, 1), (5, 1), (7, 1), (9, 9)}
+    assert sorted(r.doc_id for r in near_dedup.keep_one(df).collect()) == [1, 9]
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     h = rng.integers(0, 1 << 62, 600, dtype=np.uint64)
@@ -264,14 +348,18 @@ def test_pages(spark):
         html_extract.MOST_BROADCAST = joined
 
 
-def test_pages_of_the_table(spark):
+def article_text(html):
     import html as entities
 
+    article = re.search("<article>(.*?)</article>", html, re.S)[1]
+    parts = [" ".join(entities.unescape(re.sub("<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split("</?(?:p|h1)>", article)]
+    return "\n".join(p for p in parts if p)
+
+
+def test_pages_of_the_table(spark):
     rows = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
-    for r in html_extract.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect():
-        article = re.search("<article>(.*?)</article>", rows[r.page_id].html, re.S)[1]
-        parts = [" ".join(entities.unescape(re.sub("<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split("</?(?:p|h1)>", article)]
-        assert r.text == "\n".join(p for p in parts if p)
+    got = {r.page_id: r.text for r in html_extract.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
+    assert got == {i: article_text(r.html) for i, r in rows.items()}
 
 
 def test_neighbours(spark):
@@ -311,17 +399,47 @@ def test_secrets_odd_rows(spark, odd):
     assert all("abcdef" not in r.text and "[assign]" in r.text for r in secret_scan.redact(df).collect())
 
 
-def test_secret_ledger_scans_only_what_is_new(spark):
-    df = spark.createDataFrame([("a", "token = abcdef12"), ("b", "token = abcdef12"), ("c", "nothing")], "path string, content string")
-    one = secret_scan.scan_history(df, "path", "content")
-    ledger = spark.createDataFrame(one.fresh.collect(), one.fresh.schema)
-    assert ledger.select("blob").distinct().count() == 2 and ledger.count() == 2 * len(secret_scan.RULES)
+def test_secret_ledger_scans_only_what_is_new(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    df = spark.createDataFrame([("a", "token = abcdef12"), ("b", "token = abcdef12"), ("b", "token = abcdef12"), ("c", "nothing"), (None, None)], "path string, content string")
+    keys = [r.key for r in secret_scan.RULES]
+    one = secret_scan.scan_history(df, "path", "content", folder)
+    assert Counter(tuple(r.rules) for r in one.fresh.collect()) == {tuple(keys): 3}
+    assert secret_scan.scan_history(df, "path", "content", folder).fresh.count() == 0
     later = df.union(spark.createDataFrame([("d", "AKIA" + "A" * 16)], df.schema))
-    two = secret_scan.scan_history(later, "path", "content", ledger)
-    assert two.fresh.select("blob").distinct().count() == 1
-    assert {r.path: [s.kind for s in r.spans] for r in two.findings.collect()} == {"a": ["assign"], "b": ["assign"], "c": [], "d": ["access"]}
-    rules = (*secret_scan.RULES[:-1], secret_scan.Rule("slack", "xox", 1, version=2))
-    assert {r.rule for r in secret_scan.scan_history(df, "path", "content", ledger, rules).fresh.collect()} == {"slack@2"}
+    two = secret_scan.scan_history(later, "path", "content", folder)
+    assert two.fresh.count() == 1
+    kinds = Counter((r.path, tuple(s.kind for s in r.spans)) for r in two.findings.collect())
+    assert kinds == {("a", ("assign",)): 1, ("b", ("assign",)): 2, ("c", ()): 1, (None, ()): 1, ("d", ("access",)): 1}
+    rules = (*secret_scan.RULES[:-1], secret_scan.Rule("slack", "noth", 1, version=2))
+    three = secret_scan.scan_history(later, "path", "content", folder, rules)
+    assert {tuple(r.rules) for r in three.fresh.collect()} == {("slack@2",)} and three.fresh.count() == 4
+    assert {r.path: [s.kind for s in r.spans] for r in three.findings.collect()}["c"] == ["slack"]
+    # The first rules again: what the ledger holds of others stays out.
+    assert Counter((r.path, tuple(s.kind for s in r.spans)) for r in secret_scan.scan_history(later, "path", "content", folder).findings.collect()) == kinds
+
+
+def test_known_pairs_are_not_evaluated(spark, tmp_path):
+    """A rule that asks for a group its pattern lacks fails wherever it is run."""
+    folder = str(tmp_path / "ledger")
+    df = spark.createDataFrame([("a", "some text")], "path string, content string")
+    broken = secret_scan.Rule("broken", "text", 1, group=3)
+    with pytest.raises(Exception, match="group"):
+        secret_scan.scan_history(df, "path", "content", str(tmp_path / "other"), (*secret_scan.RULES, broken))
+    blob = hashlib.sha256(b"some text").hexdigest()
+    spark.createDataFrame([(blob, [broken.key], [])], secret_scan.LEDGER).write.parquet(folder)
+    scan = secret_scan.scan_history(df, "path", "content", folder, (*secret_scan.RULES, broken))
+    assert [r.rules for r in scan.fresh.collect()] == [[r.key for r in secret_scan.RULES]]
+
+
+def test_many_secrets_in_a_long_text(spark):
+    text = "é token=abcdef12 AKIAtoken: AKIA" + "Z" * 16 + "\n"
+    df = spark.createDataFrame([(1, text * 20_000, 7, "x")], "doc_id long, text string, n_chars int, spans string")
+    row = secret_scan.secret_digest(df).first()
+    assert row.n_assign == 40_000 and row.n_access == 20_000 and row.n_hex == 0
+    out = secret_scan.redact(df)
+    got = out.first()
+    assert out.schema == df.schema and got.text == "é [assign] AKIA[assign]\n" * 20_000 and got.n_chars == len(got.text)
 
 
 def brute_repeats(rows, n=20):
@@ -402,11 +520,64 @@ def test_mixing_meets_its_targets(spark, docs, labels, odd):
     assert mixing.rates(odd, labels.limit(0)).count() == len(ODD)
 
 
-def test_projected_gradient_with_active_bounds(spark):
+def members_of(spark, p, n):
+    return spark.createDataFrame([(i, int(t), *map(float, q)) for i, (t, q) in enumerate(zip(n, p))], "doc_id long, n_tokens long, p_clean double, p_low double, p_toxic double")
+
+
+def descent(p, n, want, on, steps=200_000):
+    """The least squared difference, by plain projected gradient steps of fixed length."""
+    a = (p * n[:, None])[:, on]
+    r, rate = np.ones(len(p)), 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(steps):
+        r = np.maximum(0, r - rate * (a @ (a.T @ r - want)))
+    return ((a.T @ r - want) ** 2).sum()
+
+
+@pytest.mark.parametrize("targets", [{"clean": 0.98, "low": 0.015, "toxic": 0.005}, {"clean": 0.9, "toxic": 0.1}, {"clean": 0.9999, "low": 5e-5, "toxic": 5e-5}])
+def test_rates_are_the_least_squares(spark, targets):
     rng = np.random.default_rng(10)
-    p = rng.dirichlet([0.3] * 3, 400)
-    df = spark.createDataFrame([(i, int(n), *map(float, q)) for i, (n, q) in enumerate(zip(rng.integers(10, 500, 400), p))], "doc_id long, n_tokens long, p_clean double, p_low double, p_toxic double")
-    rate, sums = mixing.fit_rates(df, {"clean": 0.98, "low": 0.015, "toxic": 0.005}, steps=40)
-    assert df.select(rate.alias("r")).where("r < 0").count() == 0
-    for d in mixing.DOMAINS:
-        assert abs(sums["expected"][d] - sums["wanted"][d]) <= 0.005 * sum(sums["wanted"].values())
+    p, n = rng.dirichlet([0.3] * 3, 400), rng.integers(10, 500, 400)
+    if targets["clean"] > 0.99:  # what no rates can meet
+        p = p / 2 + 1 / 6
+    df = members_of(spark, p, n)
+    fit = mixing.fit_rates(df, targets, steps=60)
+    r = np.array([x.r for x in df.orderBy("doc_id").select(fit.rate.alias("r")).collect()])
+    assert (r >= 0).all()
+    total = (p * n[:, None] * r[:, None]).sum(axis=0)
+    assert np.allclose([fit.expected[d] for d in mixing.DOMAINS], total, rtol=1e-9)
+    on = [mixing.DOMAINS.index(d) for d in targets]
+    want = np.array(list(fit.wanted.values()))
+    assert np.allclose(want / want.sum(), np.array(list(targets.values())) / sum(targets.values()))
+    mine, best = ((total[on] - want) ** 2).sum(), descent(p, n, want, on)
+    assert fit.met() == (targets["clean"] < 0.99)
+    assert mine <= 1.05 * best + (0.002 * want.sum()) ** 2
+
+
+def test_targets_must_be_reachable(spark, docs, labels):
+    for bad in ({"clean": 0.97, "low": 0.0, "toxic": 0.03}, {"low": 0.5, "toxic": 0.5}, {"clean": 1.0, "other": 1.0}):
+        with pytest.raises(ValueError, match="targets"):
+            mixing.rates(docs, labels, bad)
+    met = mixing.rates(docs, labels, {"clean": 0.8, "low": 0.15, "toxic": 0.05})
+    assert [r.targets_met for r in met.select("targets_met").distinct().collect()] == [True]
+
+
+def test_memberships_tell_held_out_domains(spark):
+    """A classifier trained on labels of even ids, asked about odd ones."""
+    big = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    rows = mixing.memberships(docs, labels.where("doc_id % 2 = 0")).collect()
+    p = {r.doc_id: (r.p_clean, r.p_low, r.p_toxic) for r in rows}
+    held = [(p[r.doc_id], r.toxic, r.quality) for r in labels.where("doc_id % 2 = 1").collect() if r.doc_id in p]
+    clean, toxic = [q[0] for q, t, y in held if t == 0 and y == 1], [q[0] for q, t, y in held if t == 1]
+    assert len(clean) > 20 and len(toxic) > 5
+    assert np.mean([a > b for a in clean for b in toxic]) >= 0.9
+
+
+def test_training_samples_are_bounded(spark):
+    rows = [(i % 50, f"{'x' * (i % 50)} {i}", i) for i in range(500)] + [(None, "no id", 1), (99, "y" * 3000, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    got = common.training_sample(df, 20, most_text=1000)
+    assert len(got) == 20 == len({r.doc_id for r in got}) and all(r.text == min(t for i, t, _ in rows if i == r.doc_id) for r in got)
+    few = common.training_sample(df, 50, most_text=1000, most=200)
+    assert 0 < len(few) < 50 and sum(len(r.text) for r in few) <= 200
+    assert common.training_sample(df.limit(0), 20) == []
