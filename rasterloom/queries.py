@@ -58,22 +58,37 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def emb_pixels(spark: SparkSession, sf_dir: str, height: int, ow: int, oh: int, fit: str, upscale: bool = False) -> DataFrame:
-    """The embeddings as gray rasters 64 wide of `height` rows each; incomplete last images are left out by their row count."""
+def _folder(spark: SparkSession, kind: str) -> str:
+    """A new folder that all executors see; a temporary one only where none is configured and they run in this process."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared or tempfile.gettempdir()}/{kind}-{uuid.uuid4().hex}"
+
+
+def emb_pixels(spark: SparkSession, sf_dir: str, height: int, ow: int, oh: int, fit: str) -> DataFrame:
+    """The embeddings as gray rasters 64 wide of `height` rows each; a row without a vector is transparent black."""
     e = _table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    px = e.select("vec_id", F.coalesce("label", F.lit(0)).cast("bigint").alias("label"), F.posexplode("embedding").alias("x", "v"))
+    vectors = e.select(P.div(F.col("vec_id"), height).alias("image_id"), (F.col("vec_id") % height).alias("y"), F.coalesce(F.col("label"), F.lit(0)).cast("bigint").alias("label"), "embedding")
+    lacking = vectors.groupBy("image_id").agg(F.collect_set("y").alias("has")).select("image_id", F.explode(F.array_except(F.sequence(F.lit(0).cast("bigint"), F.lit(height - 1).cast("bigint")), F.col("has"))).alias("y"))
+    px = vectors.select("image_id", "y", "label", F.posexplode("embedding").alias("x", "v"))
     gray = F.least(F.lit(255), F.greatest(F.lit(0), F.floor((F.col("v").cast("double") + 1) * 127.5))).cast("bigint")
-    px = px.select(P.div(F.col("vec_id"), height).alias("image_id"), (F.col("vec_id") % height).alias("y"), F.col("x").cast("bigint").alias("x"), gray.alias("r"), (255 - gray).alias("g"), (gray * 3 % 256).alias("b"), (255 - 50 * (F.col("label") % 3)).alias("a"))
-    whole = e.groupBy(P.div(F.col("vec_id"), height).alias("image_id")).count().where(F.col("count") == height).select("image_id")
+    px = px.select("image_id", "y", F.col("x").cast("bigint").alias("x"), gray.alias("r"), (255 - gray).alias("g"), (gray * 3 % 256).alias("b"), (255 - 50 * (F.col("label") % 3)).alias("a"))
+    zero = F.lit(0).cast("bigint")
+    clear = lacking.select("image_id", "y", F.explode(F.sequence(zero, F.lit(63).cast("bigint"))).alias("x"), *[zero.alias(c) for c in "rgba"])
     size = {"width": 64, "height": height, "out_width": ow, "out_height": oh}
-    return px.join(whole, "image_id").withColumns({k: F.lit(v).cast("bigint") for k, v in size.items()}).withColumn("fit", F.lit(fit))
+    return px.unionByName(clear).withColumns({k: F.lit(v).cast("bigint") for k, v in size.items()}).withColumn("fit", F.lit(fit))
 
 
 def _emb_sql(height: int) -> str:
-    return f"""px AS (SELECT vec_id // {height} AS image_id, vec_id % {height} AS y, x, g0 AS r, 255 - g0 AS g, g0 * 3 % 256 AS b, 255 - 50 * (coalesce(label, 0) % 3) AS a FROM (
-  SELECT vec_id, label, i AS x, CAST(least(255, greatest(0, floor((CAST(v AS DOUBLE) + 1) * 127.5))) AS BIGINT) AS g0 FROM (
-    SELECT vec_id, label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL))
-  WHERE vec_id // {height} IN (SELECT vec_id // {height} FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY 1 HAVING count(*) = {height}))"""
+    return f"""v AS (SELECT vec_id // {height} AS image_id, vec_id % {height} AS y, label, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+px AS (SELECT image_id, y, x, g0 AS r, 255 - g0 AS g, g0 * 3 % 256 AS b, 255 - 50 * (coalesce(label, 0) % 3) AS a FROM (
+  SELECT image_id, y, label, i AS x, CAST(least(255, greatest(0, floor((CAST(v AS DOUBLE) + 1) * 127.5))) AS BIGINT) AS g0 FROM (
+    SELECT image_id, y, label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM v))
+  UNION ALL SELECT image_id, y, x, 0, 0, 0, 0 FROM (SELECT DISTINCT image_id FROM v), range({height}) t(y), range(64) u(x) WHERE (image_id, y) NOT IN (SELECT (image_id, y) FROM v))"""
 
 
 def _axis_sql(name: str, n: int, cell: int, start: int, stop: int, span: int) -> str:
@@ -255,18 +270,21 @@ def area_wide_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as one sparse raster 50 wide, in order of time and so in no order of place."""
-    e = _table(spark, sf_dir, "events")
-    n = e.agg(F.max("event_id").alias("m")).select((P.div(F.col("m"), 50)).alias("height"))
-    px = e.crossJoin(F.broadcast(n)).where("event_id < height * 50")  # one row: the number of full lines
+    """Events as one sparse raster 50 wide, in order of time and so in no order of place. The rest of the last line is transparent black."""
+    e = _table(spark, sf_dir, "events").where("event_id IS NOT NULL")
+    n = e.agg(F.max("event_id").alias("m")).select((P.div(F.col("m"), 50) + 1).alias("height"), "m")
     i = F.col("event_id")
     a = F.when(i % 11 == 0, 0).otherwise(255).cast("bigint")
-    px = px.select(F.lit(0).cast("bigint").alias("image_id"), (i % 50).alias("x"), P.div(i, 50).alias("y"), (F.col("user_id") % 256).alias("r"), (i * 7 % 256).alias("g"), (i * 13 % 256).alias("b"), a.alias("a"), "height")
+    zero = F.lit(0).cast("bigint")
+    px = e.crossJoin(F.broadcast(n)).select("event_id", (F.col("user_id") % 256).cast("bigint").alias("r"), (i * 7 % 256).alias("g"), (i * 13 % 256).alias("b"), a.alias("a"), "height")  # one row: the number of lines
+    rest = n.where("m + 1 < height * 50").select(F.explode(F.sequence(F.col("m") + 1, F.col("height") * 50 - 1)).alias("event_id"), *[zero.alias(c) for c in "rgba"], "height")
+    px = px.unionByName(rest).select(zero.alias("image_id"), (i % 50).alias("x"), P.div(i, 50).alias("y"), "r", "g", "b", "a", "height")
     return px.withColumns({"width": F.lit(50).cast("bigint"), "out_width": F.lit(13).cast("bigint"), "out_height": F.greatest(F.lit(1).cast("bigint"), P.div(F.col("height") * 13, 50)), "fit": F.lit("contain")})
 
 
-@_register("area_sparse_unordered", """WITH h AS (SELECT max(event_id) // 50 AS h FROM events), g AS (SELECT h, greatest(1, h * 13 // 50) AS oh FROM h),
-px AS (SELECT event_id % 50 AS x, event_id // 50 AS y, user_id % 256 AS r, event_id * 7 % 256 AS g, event_id * 13 % 256 AS b, CASE WHEN event_id % 11 = 0 THEN 0 ELSE 255 END AS a FROM events, g WHERE event_id < h * 50),
+@_register("area_sparse_unordered", """WITH h AS (SELECT max(event_id) // 50 + 1 AS h FROM events), g AS (SELECT h, greatest(1, h * 13 // 50) AS oh FROM h),
+px AS (SELECT event_id % 50 AS x, event_id // 50 AS y, user_id % 256 AS r, event_id * 7 % 256 AS g, event_id * 13 % 256 AS b, CASE WHEN event_id % 11 = 0 THEN 0 ELSE 255 END AS a FROM events, g
+  UNION ALL SELECT e % 50, e // 50, 0, 0, 0, 0 FROM (SELECT unnest(range((SELECT max(event_id) + 1 FROM events), h * 50)) AS e FROM g)),
 ax AS (SELECT i, o, least((i + 1) * 13, (o + 1) * 50) - greatest(i * 13, o * 50) AS w FROM (SELECT i, unnest(range(i * 13 // 50, ((i + 1) * 13 + 49) // 50)) AS o FROM range(50) t(i))),
 ay AS (SELECT i, o, least((i + 1) * oh, (o + 1) * h) - greatest(i * oh, o * h) AS w FROM (SELECT i, h, oh, unnest(range(i * oh // h, ((i + 1) * oh + h - 1) // h)) AS o FROM (SELECT h, oh, unnest(range(h)) AS i FROM g))),
 s AS (SELECT ay.o AS oy, ax.o AS ox, sum(ax.w * ay.w) AS w, sum(a * ax.w * ay.w) AS sa, sum(r * a * ax.w * ay.w) AS sr, sum(g * a * ax.w * ay.w) AS sg, sum(b * a * ax.w * ay.w) AS sb FROM px JOIN ax ON px.x = ax.i JOIN ay ON px.y = ay.i GROUP BY 1, 2)
@@ -286,15 +304,15 @@ def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.join(bad, "image_id", "left").select("image_id", "cells", F.coalesce("bad", F.lit(0)).alias("bad"))
 
 
-@_register("axis_overlap", f"""WITH {REQUESTS_SQL}, {_BOXED}, c AS (SELECT request_id AS image_id, width % 97 + 1 AS width, height % 89 + 1 AS height, max_box_width % 40 + 1 AS out_width, max_box_height % 40 + 1 AS out_height, fit FROM boxed WHERE l_one),
+@_register("axis_overlap", f"""WITH {REQUESTS_SQL}, {_BOXED}, c AS (SELECT request_id AS image_id, width % 97 + 1 AS width, height % 89 + 1 AS height, max_box_width % 40 + 1 AS out_width, max_box_height % 40 + 1 AS out_height, fit FROM boxed),
 k AS (SELECT *, fit = 'cover' AND width * out_height > height * out_width AS cx, fit = 'cover' AND width * out_height < height * out_width AS cy FROM c),
 x AS (SELECT image_id, 'x' AS axis, unnest(range(width)) AS src, CASE WHEN cx THEN 2 * out_height ELSE out_width END AS s, CASE WHEN cx THEN width * out_height - height * out_width ELSE 0 END AS c0, CASE WHEN cx THEN width * out_height + height * out_width ELSE width * out_width END AS c1, CASE WHEN cx THEN 2 * height ELSE width END AS d FROM k),
 y AS (SELECT image_id, 'y' AS axis, unnest(range(height)) AS src, CASE WHEN cy THEN 2 * out_width ELSE out_height END AS s, CASE WHEN cy THEN height * out_width - width * out_height ELSE 0 END AS c0, CASE WHEN cy THEN height * out_width + width * out_height ELSE height * out_height END AS c1, CASE WHEN cy THEN 2 * width ELSE height END AS d FROM k),
 a AS (SELECT image_id, axis, src, c0, d, greatest(src * s, c0) AS a, least((src + 1) * s, c1) AS b FROM (SELECT * FROM x UNION ALL SELECT * FROM y)),
 o AS (SELECT *, unnest(range((a - c0) // d, (b - c0 + d - 1) // d)) AS o FROM a WHERE a < b)
-SELECT axis, image_id, count(*) AS n, sum(w)::BIGINT AS w, sum(w * (src + 1) * (o + 1))::BIGINT AS checksum FROM (SELECT axis, image_id, src, o, least(b, c0 + (o + 1) * d) - greatest(a, c0 + o * d) AS w FROM o) GROUP BY 1, 2""".replace("WHERE l_one", "WHERE request_id % 10 = 1"))
+SELECT axis, image_id, count(*) AS n, sum(w)::BIGINT AS w, sum(w * (src + 1) * (o + 1))::BIGINT AS checksum FROM (SELECT axis, image_id, src, o, least(b, c0 + (o + 1) * d) - greatest(a, c0 + o * d) AS w FROM o) GROUP BY 1, 2""")
 def axis_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlaps of every request, summed up by image and axis. The SQL keeps first lines only."""
+    """Overlaps of every request, summed up by image and axis."""
     r = requests(spark, sf_dir)
     images = r.select(F.col("request_id").alias("image_id"), (F.col("width") % 97 + 1).alias("width"), (F.col("height") % 89 + 1).alias("height"), (F.col("max_box_width") % 40 + 1).alias("out_width"), (F.col("max_box_height") % 40 + 1).alias("out_height"), "fit")
     o = resample.axis_overlaps(images)
@@ -304,12 +322,13 @@ def axis_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- samples and pixels --------------------------------------------------------------------------
 
 
-@_register("normalize_gray_packed", """WITH t AS (SELECT doc_id, 1 << (doc_id % 3) AS bits, text FROM documents WHERE length(text) >= 64 AND doc_id IS NOT NULL),
-b AS (SELECT doc_id, bits, unnest(range(64)) AS j, text FROM t), p AS (SELECT doc_id, bits, j, ord(text[j + 1]) % 256 AS byte FROM b),
-s AS (SELECT doc_id, bits, j * (8 // bits) + i AS x, (byte >> (8 - bits - i * bits)) & ((1 << bits) - 1) AS v FROM (SELECT *, unnest(range(8 // bits)) AS i FROM p))
-SELECT doc_id, count(*) AS n, sum((x + 1) * ((v * 255 + ((1 << bits) - 1) // 2) // ((1 << bits) - 1)))::BIGINT AS checksum FROM s GROUP BY 1""")
+@_register("normalize_gray_packed", """WITH t AS (SELECT doc_id, 1 << (doc_id % 3) AS bits, CASE WHEN length(text) > 0 THEN list_transform(string_split(text, ''), lambda c: ord(c) % 256) END AS packed FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT doc_id, bits, unnest(packed) AS byte, unnest(range(len(packed))) AS j FROM t WHERE packed IS NOT NULL),
+s AS (SELECT doc_id, bits, j * (8 // bits) + i AS x, (byte >> (8 - bits - i * bits)) & ((1 << bits) - 1) AS v FROM (SELECT *, unnest(range(8 // bits)) AS i FROM b)),
+c AS (SELECT doc_id, count(*) AS n, sum((x + 1) * ((v * 255 + ((1 << bits) - 1) // 2) // ((1 << bits) - 1)))::BIGINT AS checksum FROM s GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(checksum, 0) AS checksum FROM (SELECT DISTINCT doc_id FROM t) d LEFT JOIN c USING (doc_id)""")
 def normalize_gray_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The characters of each text as the bytes of a packed row of 1, 2 or 4 bits; a null or empty text has no samples and sum 0. The SQL keeps 64 characters of long texts."""
+    """The characters of each text as the bytes of a packed row of 1, 2 or 4 bits; a null or empty text has no samples and sum 0."""
     t = _table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
     bits = F.call_function("shiftleft", F.lit(1), (F.col("doc_id") % 3).cast("int")).cast("bigint")
     bytes_ = F.transform(F.split("text", ""), lambda c: F.ascii(c) % 256)
@@ -382,9 +401,10 @@ def row_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests(spark, sf_dir).select("request_id", P.row_bytes(F.col("width"), F.col("bit_depth")).alias("row_bytes"))
 
 
-@_register("gradient_pattern", "WITH p AS (SELECT event_id % 100 AS x, event_id // 100 AS y FROM events WHERE event_id < 1000), q AS (SELECT x, y, x * 255 // 99 AS r, y * 255 // 9 AS g FROM p) SELECT x, y, r, g, (r + g) % 256 // 2 AS b, 255 AS a FROM q")
+@_register("gradient_pattern", """WITH h AS (SELECT max(event_id) // 100 AS top FROM events), p AS (SELECT event_id % 100 AS x, event_id // 100 AS y, top FROM events, h),
+q AS (SELECT x, y, x * 255 // 99 AS r, CASE WHEN top > 0 THEN y * 255 // top ELSE 0 END AS g FROM p) SELECT x, y, r, g, (r + g) % 256 // 2 AS b, 255 AS a FROM q""")
 def gradient_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pattern 100 wide, and as high as the events fill or begin lines. The SQL keeps its first 10 lines and their height."""
+    """The pattern 100 wide, and as high as the events fill or begin lines."""
     e = _table(spark, sf_dir, "events")
     n = e.agg((P.div(F.max("event_id"), 100) + 1).alias("height"))
     p = e.crossJoin(F.broadcast(n)).select((F.col("event_id") % 100).alias("x"), P.div(F.col("event_id"), 100).alias("y"), "height")
@@ -450,19 +470,21 @@ def chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.chunk_summary(rows.chunk_windows(_outputs(spark, sf_dir)))
 
 
-_MCU_SQL = f"WITH {REQUESTS_SQL}, h AS (SELECT request_id AS image_id, height, CASE request_id % 3 WHEN 0 THEN 16 ELSE 8 END AS m FROM req WHERE request_id % 10 = 2), r AS (SELECT image_id, height, m, unnest(range((height + m - 1) // m)) AS mcu_row FROM h)"
+_MCU_SQL = f"WITH {REQUESTS_SQL}, h AS (SELECT request_id AS image_id, height, CASE request_id % 3 WHEN 0 THEN 16 ELSE 8 END AS m FROM req), r AS (SELECT image_id, height, m, unnest(range((height + m - 1) // m)) AS mcu_row FROM h)"
 
 
 def _mcu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MCU rows of every request. The SQL keeps second lines only."""
+    """MCU rows of every request."""
     k = F.col("request_id") % 3
     images = requests(spark, sf_dir).select(F.col("request_id").alias("image_id"), "height", F.when(k == 0, "4:2:0").when(k == 1, "4:2:2").otherwise("4:4:4").alias("subsampling"))
     return rows.mcu_rows(images)
 
 
-@_register("mcu_rows", f"{_MCU_SQL} SELECT image_id, mcu_row, mcu_row * m AS first_row, least(m, height - mcu_row * m) AS n_rows FROM r")
+@_register("mcu_rows", f"{_MCU_SQL} SELECT image_id, count(*) AS n, sum(n_rows)::BIGINT AS height, sum((mcu_row + 1) * (first_row + n_rows))::BIGINT AS checksum FROM (SELECT image_id, mcu_row, mcu_row * m AS first_row, least(m, height - mcu_row * m) AS n_rows FROM r) GROUP BY 1")
 def mcu_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mcu(spark, sf_dir).select("image_id", "mcu_row", "first_row", "n_rows")
+    """The MCU rows of every request, summed up by image."""
+    r = _mcu(spark, sf_dir)
+    return r.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("n_rows").alias("height"), F.sum((F.col("mcu_row") + 1) * (F.col("first_row") + F.col("n_rows"))).alias("checksum"))
 
 
 @_register("restart_markers", f"{_MCU_SQL} SELECT (mcu_row - 1) % 8 AS restart, count(*) AS n FROM r WHERE mcu_row > 0 GROUP BY 1")
@@ -495,9 +517,9 @@ def emb_images(spark: SparkSession, sf_dir: str, height: int, interlaced: bool =
 
 def _rgba_pixels(done: DataFrame) -> DataFrame:
     """(image_id, oy, ox, r, g, b, a) of raw RGBA thumbnails."""
-    byte = lambda at: F.conv(F.hex(F.substring("bytes", F.col("i") * 4 + at, F.lit(1))), 16, 10).cast("bigint")
-    rows_ = done.withColumn("i", F.explode(F.sequence(F.lit(0), (F.length("bytes") / 4 - 1).cast("int"))))
-    return rows_.select(F.col("path").cast("bigint").alias("image_id"), P.div(F.col("i"), F.col("out_width")).alias("oy"), (F.col("i") % F.col("out_width")).alias("ox"), *[byte(k + 1).alias(n) for k, n in enumerate("rgba")])
+    from .operators.thumbnail import thumbnail_pixels
+
+    return thumbnail_pixels(done.withColumn("path", F.col("path").cast("bigint")))
 
 
 def _png_area(fit: str, ow: int, oh: int, interlaced: bool) -> Query:
@@ -513,7 +535,7 @@ _register("png_area_contain", _area_sql(50, 32, 25, "contain"))(_png_area("conta
 _register("png_area_cover", _area_sql(50, 16, 24, "cover"))(_png_area("cover", 16, 24, False))
 _register("png_area_adam7", _area_sql(50, 16, 24, "cover"))(_png_area("cover", 16, 24, True))
 
-_IMAGES_SQL = "i AS (SELECT vec_id // 50 AS image_id FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY 1 HAVING count(*) = 50)"
+_IMAGES_SQL = "i AS (SELECT vec_id // 50 AS image_id FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY 1)"
 
 
 @_register("png_header", f"WITH {_IMAGES_SQL} SELECT image_id::VARCHAR AS path, 64::BIGINT AS width, 50::BIGINT AS height, 'rgba' AS color_type, 8::BIGINT AS bit_depth, TRUE AS interlaced, 4::BIGINT AS source_bpp, 'rgba8' AS auto_color FROM i")
@@ -597,45 +619,35 @@ def encoded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("stream_rows", _area_sql(50, 32, 25, "contain"))
 def stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanlines through the stateful row stream, over two micro-batches."""
-    import tempfile
-    import uuid
-
-    from .operators.thumbnail import decode_rows
-    from .streaming.rows import resample_rows
+    from .operators.thumbnail import decode_rows, row_pixels
+    from .streaming.rows import OUTPUT, resample_rows
 
     rows_ = decode_rows(emb_images(spark, sf_dir, 50)).select(F.col("path").alias("image_id"), "y", "rgba", *[F.lit(v).alias(n) for n, v in (("width", 64), ("height", 50), ("fit", "contain"), ("out_width", 32), ("out_height", 25))])
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()) + f"/rows-{uuid.uuid4().hex}"
+    folder = _folder(spark, "rows")
     rows_.where("y < 23").coalesce(1).write.parquet(folder)
     rows_.where("y >= 23").coalesce(1).write.mode("append").parquet(folder)
-    name = f"rows_{uuid.uuid4().hex}"
     no_data = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     try:
         # One file a trigger; the two were written one after the other, and files are taken in order of time.
         stream = spark.readStream.schema(rows_.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-        q = resample_rows(stream).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        q = resample_rows(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}-state").option("path", f"{folder}-out").trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", no_data)
-    done = spark.table(name).where("error_kind IS NULL").select("image_id", "oy", "rgba")
-    byte = lambda at: F.conv(F.hex(F.substring("rgba", F.col("ox") * 4 + at, F.lit(1))), 16, 10).cast("bigint")
-    px = done.withColumn("ox", F.explode(F.sequence(F.lit(0), (F.length("rgba") / 4 - 1).cast("int"))))
-    return px.select(F.col("image_id").cast("bigint").alias("image_id"), "oy", F.col("ox").cast("bigint").alias("ox"), *[byte(k + 1).alias(n) for k, n in enumerate("rgba")])
+    done = spark.read.schema(OUTPUT).parquet(f"{folder}-out").where("error_kind IS NULL").select(F.struct("image_id", "oy").alias("k"), F.lit(0).alias("y"), "rgba")
+    px = row_pixels(done, "k")
+    return px.select(F.col("image_id.image_id").cast("bigint").alias("image_id"), F.col("image_id.oy").alias("oy"), F.col("x").alias("ox"), *"rgba")
 
 
-@_register("staged_sink")
+@_register("staged_sink", f"WITH {_IMAGES_SQL} SELECT image_id::VARCHAR || '.png' AS name, 32::BIGINT AS width, 25::BIGINT AS height, 'rgba' AS color_type, 8::BIGINT AS bit_depth, FALSE AS interlaced, NULL::VARCHAR AS header_error FROM i")
 def staged_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thumbnails as files: written aside, renamed at commit, then read back."""
-    import tempfile
-    import uuid
-
-    from .operators.thumbnail import thumbnails
+    """Thumbnails as files: encoded aside within the write, renamed at commit, and their headers read by ranges."""
+    from .operators.thumbnail import write
     from .options import ThumbnailOptions
-    from .sources.images import scan
-    from .sources.staged import StagedSink
-
-    spark.dataSource.register(StagedSink)
-    folder = f"{tempfile.gettempdir()}/staged-{uuid.uuid4().hex}"
-    done = thumbnails(emb_images(spark, sf_dir, 50), ThumbnailOptions(max_width=32))
-    done.select(F.concat("path", F.lit(".png")).alias("name"), "bytes").write.format("staged_files").option("path", folder).mode("append").save()
-    return scan(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    from .sources.ranges import headers, files
+
+    folder = _folder(spark, "staged")
+    write(emb_images(spark, sf_dir, 50), F.concat("path", F.lit(".png")), ThumbnailOptions(max_width=32), folder)
+    found = headers(files(spark, folder))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "width", "height", "color_type", "bit_depth", "interlaced", "header_error")
