@@ -6,11 +6,13 @@ The quantisation and Huffman tables are those that the JPEG standard prints in i
 from __future__ import annotations
 
 import struct
+from typing import BinaryIO
 
 import numpy as np
 
 from ..errors import ImageError
 from ..options import JpegOptions
+from .png import Output
 
 # Fixed values of the JPEG standard: luminance and chrominance quantisation at quality 50, row-major.
 _LUMA = (
@@ -31,19 +33,22 @@ def zigzag() -> np.ndarray:
     return np.array([p for _, _, p in places])
 
 
-# Numbers of AC codes of each length.
-_AC_LENGTHS = (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125)
-
-
-def _ac_table() -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """A Huffman table for all AC symbols: short runs and small sizes get the short codes.
-
-    The order comes from a rule instead of the standard's printed list; files carry their tables, so any complete one decodes.
-    """
-    symbols = sorted((r << 4 | s for r in range(16) for s in range(1, 11)), key=lambda v: ((v >> 4) + 1) * (v & 15) ** 1.6)
-    symbols.insert(2, 0x00)
-    symbols.insert(20, 0xF0)
-    return _AC_LENGTHS, tuple(symbols)
+# The AC tables of the JPEG standard (Annex K.3), numbers of codes of each length and symbols in order of code, of luma and of chroma.
+_AC_LENGTHS = ((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119))
+_AC_LUMA = bytes.fromhex(
+    "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a 16 "
+    "17 18 19 1a 25 26 27 28 29 2a 34 35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 "
+    "6a 73 74 75 76 77 78 79 7a 83 84 85 86 87 88 89 8a 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 "
+    "b7 b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da e1 e2 e3 e4 e5 e6 e7 e8 e9 ea f1 f2 f3 f4 f5 f6 f7 f8 "
+    "f9 fa"
+)
+_AC_CHROMA = bytes.fromhex(
+    "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 "
+    "e1 25 f1 17 18 19 1a 26 27 28 29 2a 35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 "
+    "69 6a 73 74 75 76 77 78 79 7a 82 83 84 85 86 87 88 89 8a 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 "
+    "b5 b6 b7 b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da e2 e3 e4 e5 e6 e7 e8 e9 ea f2 f3 f4 f5 f6 f7 f8 "
+    "f9 fa"
+)
 
 
 def _codes(lengths: tuple[int, ...], symbols: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,9 +76,9 @@ def _dct() -> np.ndarray:
 
 
 ZIGZAG, _DCT = zigzag(), _dct()
-_AC = _ac_table()
+_AC = tuple(zip(_AC_LENGTHS, (tuple(_AC_LUMA), tuple(_AC_CHROMA))))
 _DC = tuple((lengths, tuple(range(12))) for lengths in _DC_LENGTHS)
-_AC_CODE, _DC_CODE = _codes(*_AC), [_codes(*t) for t in _DC]
+_AC_CODE, _DC_CODE = [np.stack(t) for t in zip(*(_codes(*t) for t in _AC))], [_codes(*t) for t in _DC]
 
 
 def _blocks(plane: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -112,19 +117,19 @@ def _entropy(coefficients: np.ndarray, component: np.ndarray) -> bytes:
         symbol = ((run & 15) << 4) | s
         e = np.where(v < 0, v + (1 << s) - 1, v)
         order.append(block * 256 + 4 * (place + 1) - 0)
-        values.append((_AC_CODE[0][symbol] << s) | e)
-        lengths.append(_AC_CODE[1][symbol] + s)
+        values.append((_AC_CODE[0][chroma[block], symbol] << s) | e)
+        lengths.append(_AC_CODE[1][chroma[block], symbol] + s)
         long = np.flatnonzero(zrl)
         if len(long):
             each = np.repeat(long, zrl[long])
             nth = np.arange(len(each)) - np.repeat(np.cumsum(zrl[long]) - zrl[long], zrl[long])
             order.append(block[each] * 256 + 4 * (place[each] + 1) - 3 + nth)
-            values.append(np.full(len(each), _AC_CODE[0][0xF0]))
-            lengths.append(np.full(len(each), _AC_CODE[1][0xF0]))
+            values.append(_AC_CODE[0][chroma[block[each]], 0xF0])
+            lengths.append(_AC_CODE[1][chroma[block[each]], 0xF0])
     ends = np.flatnonzero(coefficients[:, 63] == 0)
     order.append(ends * 256 + 255)
-    values.append(np.full(len(ends), _AC_CODE[0][0]))
-    lengths.append(np.full(len(ends), _AC_CODE[1][0]))
+    values.append(_AC_CODE[0][chroma[ends], 0])
+    lengths.append(_AC_CODE[1][chroma[ends], 0])
     by = np.argsort(np.concatenate(order), kind="stable")
     value, length = np.concatenate(values)[by], np.concatenate(lengths)[by]
     owner = np.repeat(np.arange(len(value)), length)
@@ -135,25 +140,23 @@ def _entropy(coefficients: np.ndarray, component: np.ndarray) -> bytes:
 
 
 class Encoder:
-    """Push bands of RGBA rows top to bottom, then finish. At most two rows of MCUs wait inside."""
+    """Push bands of RGBA rows top to bottom, then finish. At most two rows of MCUs wait inside. The bytes go to a caller's open file as they are made, or are kept."""
 
-    def __init__(self, width: int, height: int, options: JpegOptions, cap: int | None = None) -> None:
+    def __init__(self, width: int, height: int, options: JpegOptions, cap: int | None = None, into: BinaryIO | None = None) -> None:
         if width > 65535 or height > 65535:
             raise ImageError("InvalidJpegOptions", "a side is over 65535")
-        self.width, self.height, self.options, self.cap = width, height, options, cap
+        self.width, self.height, self.options = width, height, options
         self.hx, self.vy = {"4:4:4": (1, 1), "4:2:2": (2, 1), "4:2:0": (2, 2)}[options.subsampling]
         self.mcu_w, self.mcu_h = 8 * self.hx, 8 * self.vy
         self.mcus = -(-width // self.mcu_w)
         self.tables = tables(options.quality)
         self.waiting = np.zeros((0, width, 3), np.uint8)
         self.rows = self.segment = 0
-        self.out = bytearray()
+        self.out = Output(cap, into)
         self._put(self._head())
 
     def _put(self, data: bytes) -> None:
-        if self.cap is not None and len(self.out) + len(data) > self.cap:
-            raise ImageError("EncodedOutputLimitExceeded", limit=self.cap)
-        self.out += data
+        self.out.put(data)
 
     def _head(self) -> bytes:
         part = lambda marker, body: struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
@@ -165,7 +168,7 @@ class Encoder:
         for i, (lengths, symbols) in enumerate(_DC):
             out += part(0xC4, bytes([i, *lengths, *symbols]))
         for i in (0, 1):
-            out += part(0xC4, bytes([0x10 | i, *_AC[0], *_AC[1]]))
+            out += part(0xC4, bytes([0x10 | i, *_AC[i][0], *_AC[i][1]]))
         out += part(0xDD, struct.pack(">H", self.mcus))
         return out + part(0xDA, bytes([3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0]))
 
@@ -201,7 +204,7 @@ class Encoder:
         if len(self.waiting):
             self._row(self.waiting)
         self._put(b"\xff\xd9")
-        return bytes(self.out)
+        return bytes(self.out.kept)
 
 
 def encode(rgba: np.ndarray, options: JpegOptions = JpegOptions()) -> bytes:

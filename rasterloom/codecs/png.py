@@ -10,10 +10,12 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import numpy as np
 
 from ..errors import ImageError
+from ..functions.memory import DECODER_STAGING
 from ..operators.rows import ADAM7
 from ..options import PNG_COMPRESSION, PngOptions
 
@@ -23,6 +25,8 @@ CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
 ANIMATION = (b"acTL", b"fcTL", b"fdAT")
 BAND = 128
+#: Bytes of an IDAT chunk read at a time.
+PIECE = 1 << 18
 
 ReadAt = Callable[[int, int], bytes]
 
@@ -107,7 +111,7 @@ def read_header(read_at: ReadAt, size: int, content: bool = True) -> Header:
     width, height, depth, color, compression, method, interlace = header
     if width == 0 or height == 0:
         raise ImageError("ZeroDimension.width" if width == 0 else "ZeroDimension.height")
-    if compression or method or interlace > 1 or color not in CHANNELS or depth not in (1, 2, 4, 8, 16):
+    if max(width, height) >= 1 << 31 or compression or method or interlace > 1 or color not in CHANNELS or depth not in (1, 2, 4, 8, 16):
         raise ImageError("DecodeFailure", "invalid IHDR")
     if depth not in DEPTHS[color]:
         raise ImageError("Unsupported.BitDepth")
@@ -116,6 +120,13 @@ def read_header(read_at: ReadAt, size: int, content: bool = True) -> Header:
     return Header(width, height, depth, color, interlace == 1, trns_length, palette, trns, chunks[-1][0], chunks)
 
 
+def check_allowance(h: Header) -> None:
+    """A chunk before the image data may take no more than the plan's decoder memory: three rows and the staging buffer."""
+    limit = 3 * (h.width * h.planning_bpp + 1) + DECODER_STAGING
+    if any(length > limit for _, length, kind in h.chunks if kind != "IDAT"):
+        raise ImageError("DecoderMemoryLimitExceeded", limit=limit)
+
+
 def auto_color(h: Header) -> str:
     """The smallest lossless output colour that metadata allows."""
     if h.color == 0:
@@ -132,27 +143,49 @@ def auto_color(h: Header) -> str:
     return ("grayscale-alpha8" if clear else "grayscale8") if gray else ("rgba8" if clear else "rgb8")
 
 
+class ReadAt_:
+    """A file that is only read where it is asked for: what read_at(offset, length) gives, as slices. Short reads are errors."""
+
+    def __init__(self, read_at: ReadAt, size: int) -> None:
+        self.read_at, self.size = read_at, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: slice) -> bytes:
+        start, stop, _ = at.indices(self.size)
+        data = self.read_at(start, stop - start)
+        if len(data) != stop - start:
+            raise ImageError("TruncatedInput")
+        return data
+
+
 class Inflater:
-    """Inflates consecutive IDAT chunks, never holding more than asked for: a bomb costs what its image's rows cost."""
+    """Inflates consecutive IDAT chunks, reading pieces of them and never holding more than asked for: a bomb costs what its image's rows cost."""
 
-    def __init__(self, data: bytes, first_idat: int) -> None:
+    def __init__(self, data: bytes | ReadAt_, first_idat: int) -> None:
         self.data, self.at = data, first_idat
+        self.left, self.crc = 0, 0  # of the open chunk
         self.z = zlib.decompressobj()
         self.pending = b""
 
     def _next(self) -> bool:
-        if self.at + 12 > len(self.data):
-            raise ImageError("TruncatedInput")
-        length, kind = struct.unpack_from(">I4s", self.data, self.at)
-        if kind != b"IDAT":
-            return False
-        if self.at + 12 + length > len(self.data):
-            raise ImageError("TruncatedInput")
-        body = self.data[self.at + 8 : self.at + 8 + length]
-        if zlib.crc32(b"IDAT" + body) != struct.unpack_from(">I", self.data, self.at + 8 + length)[0]:
-            raise ImageError("DecodeFailure", "checksum of IDAT")
+        if not self.left:
+            if self.at + 12 > len(self.data):
+                raise ImageError("TruncatedInput")
+            length, kind = struct.unpack(">I4s", self.data[self.at : self.at + 8])
+            if kind != b"IDAT":
+                return False
+            if self.at + 12 + length > len(self.data):
+                raise ImageError("TruncatedInput")
+            self.at, self.left, self.crc = self.at + 8, length, zlib.crc32(b"IDAT")
+        body = self.data[self.at : self.at + min(self.left, PIECE)]
+        self.at, self.left, self.crc = self.at + len(body), self.left - len(body), zlib.crc32(body, self.crc)
+        if not self.left:
+            if self.crc != struct.unpack(">I", self.data[self.at : self.at + 4])[0]:
+                raise ImageError("DecodeFailure", "checksum of IDAT")
+            self.at += 4
         self.pending = body
-        self.at += 12 + length
         return True
 
     def take(self, n: int) -> bytes:
@@ -302,12 +335,12 @@ def _bands(source: Inflater, h: Header, width: int, height: int, normal: Normali
         yield y, normal(band, width)
 
 
-def decode_bands(data: bytes, h: Header) -> Iterator[tuple[int, np.ndarray]]:
+def decode_bands(data: bytes | ReadAt_, h: Header) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, n x width x 4) of a non-interlaced image, top to bottom."""
     yield from _bands(Inflater(data, h.first_idat), h, h.width, h.height, Normalizer(h))
 
 
-def decode_passes(data: bytes, h: Header) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def decode_passes(data: bytes | ReadAt_, h: Header) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ys, xs, n x m x 4) of an interlaced image, band by band of its seven passes."""
     source, normal = Inflater(data, h.first_idat), Normalizer(h)
     for _, x0, y0, dx, dy in ADAM7:
@@ -387,23 +420,38 @@ def filter_rows(rows: np.ndarray, above: np.ndarray, bpp: int, choice: str) -> n
     return out
 
 
+class Output:
+    """Where an encoder's bytes go: a caller's file, or a buffer. No more than cap bytes are let through."""
+
+    def __init__(self, cap: int | None, into: BinaryIO | None) -> None:
+        self.cap, self.into = cap, into
+        self.written, self.kept = 0, bytearray()
+
+    def put(self, data: bytes) -> None:
+        if self.cap is not None and self.written + len(data) > self.cap:
+            raise ImageError("EncodedOutputLimitExceeded", limit=self.cap)
+        self.written += len(data)
+        if self.into is None:
+            self.kept += data
+        else:
+            self.into.write(data)
+
+
 class Encoder:
-    """Row-streamed encoding with a byte cap; push bands top to bottom, then finish."""
+    """Row-streamed encoding with a byte cap; push bands top to bottom, then finish. The bytes go to a caller's open file as they are made, or are kept."""
 
-    def __init__(self, width: int, height: int, options: PngOptions, color: str, cap: int | None = None) -> None:
+    def __init__(self, width: int, height: int, options: PngOptions, color: str, cap: int | None = None, into: BinaryIO | None = None) -> None:
         self.kind, self.channels = _COLOR_TYPES[color]
-        self.width, self.height, self.color, self.cap = width, height, color, cap
+        self.width, self.height, self.color = width, height, color
         self.choice = "adaptive" if options.filter == "default" else options.filter
         self.z = zlib.compressobj(PNG_COMPRESSION[options.compression])
         self.above = np.zeros(width * self.channels, np.uint8)
         self.rows = 0
-        self.out = bytearray()
+        self.out = Output(cap, into)
         self._put(SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, self.kind, 0, 0, 0)))
 
     def _put(self, data: bytes) -> None:
-        if self.cap is not None and len(self.out) + len(data) > self.cap:
-            raise ImageError("EncodedOutputLimitExceeded", limit=self.cap)
-        self.out += data
+        self.out.put(data)
 
     def push(self, rgba: np.ndarray) -> None:
         rows = np.ascontiguousarray(convert(rgba, self.color)).reshape(len(rgba), -1)
@@ -417,7 +465,7 @@ class Encoder:
         if self.rows != self.height:
             raise ImageError("IncompleteImage", actual=self.rows, limit=self.height)
         self._put(chunk(b"IDAT", self.z.flush()) + chunk(b"IEND", b""))
-        return bytes(self.out)
+        return bytes(self.out.kept)
 
 
 def encode(rgba: np.ndarray, options: PngOptions = PngOptions(), color: str | None = None) -> bytes:

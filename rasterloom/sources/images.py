@@ -14,7 +14,7 @@ from ..errors import ImageError
 from ..options import PngOptions
 
 HEADER = "width bigint, height bigint, color_type string, bit_depth bigint, interlaced boolean, raw_trns_length bigint, source_bpp bigint, auto_color string, header_error string, header_detail string"
-_NAMES = [f.split()[0] for f in HEADER.split(", ")]
+NAMES = [f.split()[0] for f in HEADER.split(", ")]
 
 
 def scan(spark: SparkSession, path: str, max_bytes: int | None = None, glob: str | None = None) -> DataFrame:
@@ -32,10 +32,20 @@ def ihdr(content: Column) -> dict[str, Column]:
     ok = (F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A") & (F.hex(F.substring(content, 13, 4)) == "49484452") & (F.length(content) >= 33)
     kind = number(26, 1)
     name = F.when(kind == 0, "grayscale").when(kind == 2, "rgb").when(kind == 3, "indexed").when(kind == 4, "grayscale-alpha").when(kind == 6, "rgba")
+    ok &= (number(17, 4) < 1 << 31) & (number(21, 4) < 1 << 31)
     fields = {"width": number(17, 4), "height": number(21, 4), "bit_depth": number(25, 1), "color_type": name, "interlaced": number(29, 1) == 1}
     return {k: F.when(ok, v) for k, v in fields.items()}
 
 
+def with_ihdr(images: DataFrame) -> DataFrame:
+    """The rows with what a plan needs of a header, from IHDR's fixed places and so without Python. Null where they hold no IHDR; only a walk through the chunks tells whether the rest is sound."""
+    c = ihdr(F.col("content"))
+    channels = F.when(c["color_type"] == "rgb", 3).when(c["color_type"] == "grayscale-alpha", 2).when(c["color_type"] == "rgba", 4).otherwise(1)
+    packed = (c["color_type"] == "indexed") | ((c["color_type"] == "grayscale") & (c["bit_depth"] < 8))
+    bpp = F.when(packed, 1).otherwise(F.call_function("div", channels * c["bit_depth"], F.lit(8))).cast("bigint")
+    return images.withColumns({"encoded_bytes": F.coalesce(F.length("content"), F.lit(0)).cast("bigint"), **c, "source_bpp": bpp})
+
+
 def header_row(read_at: png.ReadAt, size: int) -> tuple:
     try:
         h = png.read_header(read_at, size)
@@ -65,7 +75,7 @@ def inspect(images: DataFrame, max_input_bytes: int | None = None, keep_content:
                     found = header_row(lambda o, n, d=data: d[o : o + n].to_pybytes() if d is not None else b"", size)
                 columns = [c for c, name in zip(row.columns, row.schema.names) if keep_content or name != "content"]
                 names = [n for n in row.schema.names if keep_content or n != "content"]
-                yield pa.RecordBatch.from_arrays(columns + header_columns([found]), names=names + _NAMES)
+                yield pa.RecordBatch.from_arrays(columns + header_columns([found]), names=names + NAMES)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema if keep_content or f.name != "content")
     return images.mapInArrow(run, f"{fields}, {HEADER}")
