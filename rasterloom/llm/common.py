@@ -6,6 +6,7 @@ import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,26 +78,24 @@ def crc_mod(col: str, n: int) -> F.Column:
 TRAIN_TEXT, TRAIN_BYTES = 1 << 20, 32 << 20
 
 
-def training_sample(rows: DataFrame, sample: int, most_text: int = TRAIN_TEXT, most: int = TRAIN_BYTES) -> list[Row]:
+def training_sample(rows: DataFrame, sample: int, most_text: int = TRAIN_TEXT, most: int = TRAIN_BYTES) -> Iterator[Row]:
     """A bounded sample of rows (doc_id, text, y): one row (the least) for each of the `sample` ids of least hash, in order of id.
 
-    Texts of more than most_text bytes are left out, and ids from where the texts would pass `most` bytes. Only the sample's sizes and then its texts come to the driver.
+    Texts of more than most_text bytes are left out, and ids from where the texts would pass `most` bytes. The sample's sizes come to the driver, and then its texts, part by part.
     """
     rows = rows.where(F.col("doc_id").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) <= most_text))
     ids = rows.select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
     met = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min(F.struct("text", "y")).alias("r"))
     picked = cut(met.select(F.col("_id").alias("doc_id"), F.xxhash64("_id").alias("h"), "r.text", "r.y"))
-    sizes = picked.select("h", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()
     total, last = 0, None
-    for r in sorted(sizes):
-        total += r["n"]
+    for h, i, n in sorted(map(tuple, picked.select("h", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0))).collect())):
+        total += n
         if total > most:
             break
-        last = r
-    if last is None:
-        return []
-    kept = picked.where((F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("doc_id") <= last["doc_id"])))
-    return sorted(kept.select("doc_id", "text", "y").collect(), key=lambda r: r["doc_id"])
+        last = h, i
+    if last is not None:
+        kept = picked.where((F.col("h") < last[0]) | ((F.col("h") == last[0]) & (F.col("doc_id") <= last[1])))
+        yield from kept.orderBy("doc_id").select("doc_id", "text", "y").toLocalIterator()
 
 
 # ---- vectorised hashing -------------------------------------------------------------------------

@@ -19,8 +19,9 @@ other columns are ignored by rates() and kept by apply_rates().
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -60,39 +61,39 @@ class Classifier:
         return z / z.sum(axis=1, keepdims=True), n
 
 
-def labelled(documents: DataFrame, labels: DataFrame, sample: int) -> list:
+def labelled(documents: DataFrame, labels: DataFrame, sample: int) -> Iterator[tuple]:
     """(id, text, number of the domain) of the bounded sample."""
     y = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.coalesce("toxic", F.lit(0))).alias("t"), F.min(F.coalesce("quality", F.lit(1))).alias("q"))
     rows = documents.select("doc_id", "text").join(y, F.col("doc_id") == F.col("_id"))
     rows = rows.select("doc_id", "text", F.when(F.col("t") == 1, 2).when(F.col("q") == 0, 1).otherwise(0).alias("y"))
-    return [(r["doc_id"], r["text"] or "", r["y"]) for r in training_sample(rows, sample)]
+    return ((r["doc_id"], r["text"] or "", r["y"]) for r in training_sample(rows, sample))
 
 
-def fit(rows: list, bits: int = BITS, epochs: int = 30, sparsity: float = 2e-4) -> Classifier:
-    """Multinomial logistic regression by Adagrad with soft thresholding. Only terms of few and several documents count."""
+def fit(rows: Iterable[tuple], bits: int = BITS, epochs: int = 30, sparsity: float = 2e-4) -> Classifier:
+    """Multinomial logistic regression by Adagrad with soft thresholding. Only terms of few and several documents count. Of rows no more than 200 texts are held at once."""
     k = len(DOMAINS)
     weight, bias = np.zeros((2 << bits, k)), np.zeros(k)
-    if not rows:
+    docs, ts, labels = [], [], []
+    for part in batched(rows, 200):
+        d, t, _ = terms(pa.array([r[1] for r in part], pa.string()), bits)
+        docs.append((d + len(labels)).astype(np.int32))
+        ts.append(t.astype(np.int32))
+        labels += [r[2] for r in part]
+    if not labels:
         return Classifier(weight, bias, bits)
-    docs, ts, at = [], [], 0
-    for i in range(0, len(rows), 200):
-        d, t, _ = terms(pa.array([r[1] for r in rows[i : i + 200]], pa.string()), bits)
-        docs.append(d + at)
-        ts.append(t)
-        at += len(rows[i : i + 200])
-    doc, term = np.concatenate(docs), np.concatenate(ts)
-    label = np.array([r[2] for r in rows])
+    doc, term, label = np.concatenate(docs), np.concatenate(ts), np.array(labels)
+    del docs, ts
     seen = np.bincount(term, minlength=2 << bits)
-    fit_for = (seen >= 4) & ((seen <= 0.2 * len(rows)) | (np.arange(2 << bits) < N_STYLE * 8))
+    fit_for = (seen >= 4) & ((seen <= 0.2 * len(labels)) | (np.arange(2 << bits) < N_STYLE * 8))
     keep = fit_for[term]
     doc, term = doc[keep], term[keep]
     used, term = np.unique(term, return_inverse=True)
     w = np.zeros((len(used), k))
     squares, bias_squares = np.full_like(w, 1e-2), np.full(k, 1e-2)
-    first = np.searchsorted(doc, np.arange(len(rows) + 1))
-    order = np.random.default_rng(3).permutation(len(rows))
+    first = np.searchsorted(doc, np.arange(len(labels) + 1))
+    order = np.random.default_rng(3).permutation(len(labels))
     for _ in range(epochs):
-        for part in np.array_split(order, max(1, len(rows) // 250)):
+        for part in np.array_split(order, max(1, len(labels) // 250)):
             sizes = first[part + 1] - first[part]
             own = np.repeat(np.arange(len(part)), sizes)
             mine = term[np.repeat(first[part] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
@@ -154,48 +155,58 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, anchor: s
     t = F.col("n_tokens")
     k = len(names)
 
-    def sums(rates: list[F.Column]) -> list[tuple[np.ndarray, np.ndarray, dict[str, float]]]:
-        """For each choice of rates the expected totals, the second moments of the rows whose rate is above zero, and all domains' totals; in one pass."""
-        rows = members.select("n_tokens", *[f"p_{d}" for d in DOMAINS], *[r.alias(f"_r{c}") for c, r in enumerate(rates)])
+    def rate_of(steps: list[np.ndarray]) -> F.Column:
+        """The rate after some steps from 1. One expression whose size doesn't grow with the steps, which are a literal."""
+        if not steps:
+            return F.lit(1.0)
+        taken = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps])
+        return F.aggregate(taken, F.lit(1.0), lambda r, step: F.greatest(F.lit(0.0), r - sum(p[j] * step[j] for j in range(k))))
+
+    def sums(steps: list[np.ndarray], tries: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, dict[str, float]]]:
+        """After the steps and each of the tries: the expected totals, the second moments of the rows whose rate is above zero, and all domains' totals; in one pass."""
+        rows = members.select("n_tokens", *[f"p_{d}" for d in DOMAINS], rate_of(steps).alias("_r"))
+        rows = rows.select("n_tokens", *[f"p_{d}" for d in DOMAINS], *[F.greatest(F.lit(0.0), F.col("_r") - sum(p[j] * float(x[j]) for j in range(k))).alias(f"_r{c}") for c, x in enumerate(tries)])
         wanted = []
-        for c in range(len(rates)):
+        for c in range(len(tries)):
             r = F.col(f"_r{c}")
             wanted += [F.sum(t * F.col(f"p_{d}") * r).alias(f"e{c}_{d}") for d in DOMAINS]
-            wanted += [F.sum(F.when(r > 0, t * p[i] * p[j])).alias(f"g{c}_{i}_{j}") for i in range(k) for j in range(k)]
+            wanted += [F.sum(F.when(r > 0, t * p[i] * p[j])).alias(f"g{c}_{i}_{j}") for i in range(k) for j in range(i, k)]
         found = rows.agg(*wanted).first()
         out = []
-        for c in range(len(rates)):
+        for c in range(len(tries)):
             every = {d: found[f"e{c}_{d}"] or 0.0 for d in DOMAINS}
-            out.append((np.array([every[d] for d in names]), np.array([[found[f"g{c}_{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]), every))
+            gram = np.array([[found[f"g{c}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+            out.append((np.array([every[d] for d in names]), gram, every))
         return out
 
-    best = (F.lit(1.0), *sums([F.lit(1.0)])[0])
+    taken: list[np.ndarray] = []
+    best = sums(taken, [np.zeros(k)])[0]
     share = np.array([targets[d] for d in names], float)
     share = share / share.sum()
     a = names.index(anchor)
-    want = share * (total if total is not None else best[1][a] / share[a])
-    safe = 1 / max(np.linalg.eigvalsh(best[2])[-1], 1e-300)
+    want = share * (total if total is not None else best[0][a] / share[a])
+    safe = 1 / max(np.linalg.eigvalsh(best[1])[-1], 1e-300)
     scaled, plain = 1.0, 1.0
     for _ in range(steps):
-        miss = best[1] - want
-        if np.abs(miss).sum() <= 1e-6 * max(want.sum(), 1):
+        miss = best[0] - want
+        if np.abs(miss).sum() <= 1e-4 * max(want.sum(), 1):
             break
         # The gradient itself, and in the metric of the rows whose rate is above zero, each at a few lengths; the best of all is taken.
-        ahead = np.linalg.pinv(best[2], rcond=1e-9, hermitian=True) @ miss
+        ahead = np.linalg.pinv(best[1], rcond=1e-9, hermitian=True) @ miss
         tries = [(True, z, z * ahead) for z in (scaled, scaled / 4)] + [(False, z, z * safe * miss) for z in (plain / 4, plain, plain * 4)]
-        rates = [F.greatest(F.lit(0.0), best[0] - sum(p[j] * float(step[j]) for j in range(k))) for _, _, step in tries]
-        found = sums(rates)
+        found = sums(taken, [step for _, _, step in tries])
         off = [((now[0] - want) ** 2).sum() for now in found]
         c = int(np.argmin(off))
         if off[c] >= (miss**2).sum():
             scaled, plain = scaled / 16, plain / 16
             continue
-        best = (rates[c], *found[c])
+        taken.append(tries[c][2])
+        best = found[c]
         if tries[c][0]:
             scaled = min(1.0, 2 * tries[c][1])
         else:
             plain = tries[c][1]
-    return Fit(best[0], dict(zip(names, want.tolist())), best[3])
+    return Fit(rate_of(taken), dict(zip(names, want.tolist())), best[2])
 
 
 def copies_of(rate: F.Column, key: F.Column, seed: int = 11) -> F.Column:

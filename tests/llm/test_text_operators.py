@@ -563,7 +563,7 @@ def test_targets_must_be_reachable(spark, docs, labels):
 
 def test_memberships_tell_held_out_domains(spark):
     """A classifier trained on labels of even ids, asked about odd ones."""
-    big = "/root/testdata/sf0.01"
+    big = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
     rows = mixing.memberships(docs, labels.where("doc_id % 2 = 0")).collect()
     p = {r.doc_id: (r.p_clean, r.p_low, r.p_toxic) for r in rows}
@@ -576,8 +576,8 @@ def test_memberships_tell_held_out_domains(spark):
 def test_training_samples_are_bounded(spark):
     rows = [(i % 50, f"{'x' * (i % 50)} {i}", i) for i in range(500)] + [(None, "no id", 1), (99, "y" * 3000, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, y int")
-    got = common.training_sample(df, 20, most_text=1000)
+    got = list(common.training_sample(df, 20, most_text=1000))
     assert len(got) == 20 == len({r.doc_id for r in got}) and all(r.text == min(t for i, t, _ in rows if i == r.doc_id) for r in got)
-    few = common.training_sample(df, 50, most_text=1000, most=200)
+    few = list(common.training_sample(df, 50, most_text=1000, most=200))
     assert 0 < len(few) < 50 and sum(len(r.text) for r in few) <= 200
-    assert common.training_sample(df.limit(0), 20) == []
+    assert list(common.training_sample(df.limit(0), 20)) == []
