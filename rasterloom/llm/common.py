@@ -78,15 +78,20 @@ def crc_mod(col: str, n: int) -> F.Column:
 TRAIN_TEXT, TRAIN_BYTES = 1 << 20, 32 << 20
 
 
-def training_sample(rows: DataFrame, sample: int, most_text: int = TRAIN_TEXT, most: int = TRAIN_BYTES) -> Iterator[Row]:
-    """A bounded sample of rows (doc_id, text, y): one row (the least) for each of the `sample` ids of least hash, in order of id.
+def training_sample(rows: DataFrame, labels: DataFrame | None, sample: int, most_text: int = TRAIN_TEXT, most: int = TRAIN_BYTES) -> Iterator[Row]:
+    """A bounded sample of rows (doc_id, text, y), in order of id: one row (the least) for each of the `sample` ids of least hash.
 
+    y comes from labels (doc_id, y; a row an id), or from the rows where these are None. Ids are drawn from the labels, twice as many as are wanted, as some may have no text; so no texts move but the sample's.
     Texts of more than most_text bytes are left out, and ids from where the texts would pass `most` bytes. The sample's sizes come to the driver, and then its texts, part by part.
     """
     rows = rows.where(F.col("doc_id").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) <= most_text))
-    ids = rows.select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    if labels is None:
+        ids, rows = rows.select(F.col("doc_id").alias("_id")).distinct(), rows.select("doc_id", "text", "y")
+    else:
+        ids, rows = labels.select(F.col("doc_id").alias("_id"), "y"), rows.select("doc_id", "text")
+    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(sample if labels is None else 2 * sample)
     met = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min(F.struct("text", "y")).alias("r"))
-    picked = cut(met.select(F.col("_id").alias("doc_id"), F.xxhash64("_id").alias("h"), "r.text", "r.y"))
+    picked = cut(met.select(F.col("_id").alias("doc_id"), F.xxhash64("_id").alias("h"), "r.text", "r.y").orderBy("h", "doc_id").limit(sample))
     total, last = 0, None
     for h, i, n in sorted(map(tuple, picked.select("h", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0))).collect())):
         total += n

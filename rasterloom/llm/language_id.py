@@ -267,7 +267,7 @@ def fit(rows: list[tuple[list[str], str]], epochs: int = 3, seed: int = 7) -> Fi
 def training_rows(documents: DataFrame, held_mod: int, held_rest: int, sample: int) -> list[tuple[list[str], str]]:
     """The bounded training sample: of the documents that are not held out and have a language, those of least id hash."""
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", held_mod) != held_rest))
-    return [(words(r["text"]), r["y"]) for r in training_sample(rows.select("doc_id", "text", F.col("lang").cast("string").alias("y")), sample)]
+    return [(words(r["text"]), r["y"]) for r in training_sample(rows.select("doc_id", "text", F.col("lang").cast("string").alias("y")), None, sample)]
 
 
 def predict_languages(documents: DataFrame, held_mod: int = 4, held_rest: int = 2, sample: int = SAMPLE) -> DataFrame:

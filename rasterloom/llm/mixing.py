@@ -63,10 +63,9 @@ class Classifier:
 
 def labelled(documents: DataFrame, labels: DataFrame, sample: int) -> Iterator[tuple]:
     """(id, text, number of the domain) of the bounded sample."""
-    y = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.coalesce("toxic", F.lit(0))).alias("t"), F.min(F.coalesce("quality", F.lit(1))).alias("q"))
-    rows = documents.select("doc_id", "text").join(y, F.col("doc_id") == F.col("_id"))
-    rows = rows.select("doc_id", "text", F.when(F.col("t") == 1, 2).when(F.col("q") == 0, 1).otherwise(0).alias("y"))
-    return ((r["doc_id"], r["text"] or "", r["y"]) for r in training_sample(rows, sample))
+    y = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce("toxic", F.lit(0))).alias("t"), F.min(F.coalesce("quality", F.lit(1))).alias("q"))
+    y = y.select("doc_id", F.when(F.col("t") == 1, 2).when(F.col("q") == 0, 1).otherwise(0).alias("y"))
+    return ((r["doc_id"], r["text"] or "", r["y"]) for r in training_sample(documents, y, sample))
 
 
 def fit(rows: Iterable[tuple], bits: int = BITS, epochs: int = 30, sparsity: float = 2e-4) -> Classifier:

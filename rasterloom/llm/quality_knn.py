@@ -75,9 +75,8 @@ class Model:
 def labelled(documents: DataFrame, labels: DataFrame, held_mod: int, held_rest: int, sample: int) -> list:
     """(id, text, label) of the bounded sample: labelled documents that are not held out, those of least id hash."""
     y = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (crc_mod("doc_id", held_mod) != held_rest))
-    y = y.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("y"))
-    rows = documents.select("doc_id", "text").join(y, F.col("doc_id") == F.col("_id"))
-    return [(r["doc_id"], r["text"] or "", int(r["y"] == 1)) for r in training_sample(rows.select("doc_id", "text", "y"), sample)]
+    y = y.groupBy("doc_id").agg(F.min("quality").alias("y"))
+    return [(r["doc_id"], r["text"] or "", int(r["y"] == 1)) for r in training_sample(documents, y, sample)]
 
 
 def fit(rows: list, bins: int = BINS, rank: int = RANK, k: int = NEIGHBOURS, power: float = POWER) -> Model:

@@ -93,7 +93,7 @@ def brute_weighted(texts):
     bags = []
     for t in texts:
         w = words(t)
-        bags.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))))
+        bags.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
     root = list(range(len(texts)))
 
     def find(i):
@@ -101,11 +101,14 @@ def brute_weighted(texts):
             i = root[i]
         return i
 
-    for i in range(len(texts)):
-        for j in range(i):
+    holders = {}
+    for i, bag in enumerate(bags):
+        for j in {j for x in bag for j in holders.get(x, ())}:  # others have nothing in common
             if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values()):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
+        for x in bag:
+            holders.setdefault(x, []).append(i)
     return {i: find(i) for i in range(len(texts))}
 
 
@@ -291,7 +294,7 @@ def slow_measure(text):
 
 
 def test_quality_rules(spark, docs, labels, odd):
-    for df in (docs, odd.where("doc_id <> 5 OR doc_id IS NULL")):
+    for df in (docs, odd):
         truth = Counter((r.doc_id, *slow_measure(r.text)) for r in df.collect())
         rows = quality_rules.judge(df, labels).collect()
         assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows) == truth
@@ -576,8 +579,11 @@ def test_memberships_tell_held_out_domains(spark):
 def test_training_samples_are_bounded(spark):
     rows = [(i % 50, f"{'x' * (i % 50)} {i}", i) for i in range(500)] + [(None, "no id", 1), (99, "y" * 3000, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, y int")
-    got = list(common.training_sample(df, 20, most_text=1000))
-    assert len(got) == 20 == len({r.doc_id for r in got}) and all(r.text == min(t for i, t, _ in rows if i == r.doc_id) for r in got)
-    few = list(common.training_sample(df, 50, most_text=1000, most=200))
-    assert 0 < len(few) < 50 and sum(len(r.text) for r in few) <= 200
-    assert list(common.training_sample(df.limit(0), 20)) == []
+    labels = spark.createDataFrame([(i, i) for i in range(100)], "doc_id long, y int")
+    for y in (None, labels):
+        got = list(common.training_sample(df, y, 20, most_text=1000))
+        assert 10 <= len(got) <= 20 and len({r.doc_id for r in got}) == len(got) and [r.doc_id for r in got] == sorted(r.doc_id for r in got)
+        assert all(r.text == min(t for i, t, _ in rows if i == r.doc_id) for r in got)
+        few = list(common.training_sample(df, y, 50, most_text=1000, most=200))
+        assert 0 < len(few) < 50 and sum(len(r.text) for r in few) <= 200
+        assert list(common.training_sample(df.limit(0), y, 20)) == []
