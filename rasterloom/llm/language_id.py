@@ -18,7 +18,6 @@ are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,23 +27,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, training_sample, words
+from .common import crc_mod, mix, slices, training_sample, words
 
 SAMPLE, BINS, LEXICON, BLOCK, KEPT = 1200, 1 << 16, 4000, 32, 300_000
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&+=/\\-_~`^@0123456789"
 UNKNOWN = "und"
 
 
+def features_of(words_: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of bare words in lower case, word by word, and how many each has."""
+    marked = [f"<{w}>".encode() for w in words_]
+    size = np.array([len(m) for m in marked], np.int64)
+    start = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(marked) + bytes(8), np.uint8)
+    lanes = np.ndarray((max(len(data) - 7, 0),), "<u8", data, 0, (1,))  # eight bytes from every place
+
+    def numbers(at: np.ndarray, length: int, kind: int) -> np.ndarray:
+        packed = (lanes[at] & np.uint64((1 << 8 * length) - 1)) | np.uint64(kind << 56)
+        return (mix(packed) & np.uint64(BINS - 1)).astype(np.int64)
+
+    found, owner = [], []
+    for k in (2, 3, 4):
+        count = np.maximum(size - k + 1, 0)
+        own = np.repeat(np.arange(len(size)), count)
+        found.append(numbers(start[own] + np.arange(len(own)) - (np.cumsum(count) - count)[own], k, k))
+        owner.append(own)
+    for k in (3, 5):
+        own = np.flatnonzero(size > k)
+        found += [numbers(start[own], k, 16 + k), numbers(start[own] + size[own] - k, k, 32 + k)]
+        owner += [own, own]
+    known = [(i, lexicon[w]) for i, w in enumerate(words_) if w in lexicon]
+    if known:
+        own, entry = np.array(known, np.int64).T
+        found.append(BINS + entry)
+        owner.append(own)
+    by = np.argsort(np.concatenate(owner), kind="stable")
+    return np.concatenate(found)[by], np.bincount(np.concatenate(owner), minlength=len(size))
+
+
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Feature numbers of a bare word in lower case."""
-    marked = f"<{word}>".encode()
-    n = len(marked)
-    out = [zlib.crc32(marked[i : i + k], k) & (BINS - 1) for k in (2, 3, 4) for i in range(n - k + 1)]
-    out += [zlib.crc32(marked[:k], 16 + k) & (BINS - 1) for k in (3, 5) if k < n]
-    out += [zlib.crc32(marked[n - k :], 32 + k) & (BINS - 1) for k in (3, 5) if k < n]
-    if word in lexicon:
-        out.append(BINS + lexicon[word])
-    return out
+    return features_of([word], lexicon)[0].tolist()
 
 
 def bare(word: str) -> str:
@@ -131,7 +153,7 @@ class Field:
         fresh: list[str] = []
         for w in new:
             b = bare(w)
-            if not any(map(str.isalpha, b)):
+            if not b.isalpha() and not any(map(str.isalpha, b)):
                 self.seen[w] = 0
                 continue
             row = self.rows.get(b)
@@ -141,10 +163,11 @@ class Field:
             self.seen[w] = row
         if not fresh:
             return
-        lists = [features(b, self.lexicon) for b in fresh]
-        sizes = np.array([len(x) for x in lists])
-        flat = np.fromiter((f for x in lists for f in x), np.int64, int(sizes.sum()))
-        score = np.add.reduceat(self.weight[flat], np.cumsum(sizes) - sizes, axis=0)
+        parts = []
+        for i in range(0, len(fresh), 20_000):  # their features are held no longer than needed
+            flat, sizes = features_of(fresh[i : i + 20_000], self.lexicon)
+            parts.append(np.add.reduceat(self.weight[flat], np.cumsum(sizes) - sizes, axis=0))
+        score = np.concatenate(parts)
         score = np.clip(score - score.max(axis=1, keepdims=True), -30, 0)
         end = self.used + len(fresh)
         if end > len(self.table):
@@ -202,9 +225,7 @@ def fit(rows: list[tuple[list[str], str]], epochs: int = 3, seed: int = 7) -> Fi
             group[0] = (group[0][0][:cut_a] + group[1][0][cut_b:], group[0][1][:cut_a] + group[1][1][cut_b:])
         mixed += [g for g in group if g[0]]
     number_of = {w: i for i, w in enumerate(times)}
-    lists = [features(w, lexicon) for w in times]
-    sizes = np.array([len(x) for x in lists])
-    flat = np.fromiter((f for x in lists for f in x), np.int64, int(sizes.sum()))
+    flat, sizes = features_of(list(times), lexicon)
     begin = np.cumsum(sizes) - sizes
     weight, trans = np.zeros((BINS + LEXICON, k)), np.zeros((k, k))
     squares, trans_squares = np.full_like(weight, 1e-2), np.full((k, k), 1e-2)

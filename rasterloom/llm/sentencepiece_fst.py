@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,9 +41,10 @@ from .common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _FLOAT = struct.Struct("f")
+_PART = re.compile(f"{SPACE}*\\w+|[^\\w{SPACE}]+|{SPACE}+")
 _RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Entries of a table of runs, parts or pairs; a full one is emptied.
-KEPT = 100_000
+#: Entries of the tables of runs and of pairs of pieces; a full one is emptied.
+KEPT, PAIRS = 300_000, 500_000
 
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -213,24 +215,23 @@ class Transducer:
         self.cut_out = {s: i for s, i in user.items() if p.bpe}
         self.user = _longest_first(list(self.cut_out))
         self.bytes = {int(s[3:5], 16): i for i, (s, t) in enumerate(zip(p.names, p.types)) if t == BYTE} if p.fallback else {}
-        #: The arcs as a trie: each prefix of a piece, with the piece's number or -1.
-        self.trie: dict[str, int] = {}
+        #: The arcs as an automaton that finds all pieces of an input in one walk.
+        self.automaton = ahocorasick.Automaton()
         #: Neighbouring characters within pieces. Between any others no piece reaches across.
         self.inner: set[str] = set()
-        for s in self.arcs:
-            for n in range(1, len(s)):
-                self.trie.setdefault(s[:n], -1)
-                self.inner.add(s[n - 1 : n + 1])
-        self.trie.update(self.arcs)
+        for s, i in self.arcs.items():
+            self.inner.update(s[n - 1 : n + 1] for n in range(1, len(s)))
+            if not p.bpe or self.merge(s) == [s]:  # what merging takes on or never reaches is on no path
+                self.automaton.add_word(s, i)
+        self.automaton.make_automaton()
+        self.length = [len(s) for s in p.names]
         #: Whether runs can be composed apart. With scores they can't: how sums of single precision round, and so which of two even paths wins, depends on all that went before.
         self.by_runs = p.bpe and not any(SPACE in s.lstrip(SPACE) for s in self.arcs) and not self.cut_out
-        self.longest = max(map(len, self.arcs), default=1)
         normal = [x for x, t in zip(p.scores, p.types) if t == NORMAL]
         best, self.lowest = max(normal, default=0.0), _single(min(normal, default=0.0) - 10)
         #: A user-defined piece weighs less than any path of other pieces over its bytes.
         self.weight = [_single(len(s.encode()) * best - 0.1) if t == USER else x for s, x, t in zip(p.names, p.scores, p.types)]
         self.fits: dict[int, bool] = {}
-        self.whole: list[bool | None] = [None] * len(p.names)
         byte_of = {int(s[3:5], 16): i for i, (s, t) in enumerate(zip(p.names, p.types)) if t == BYTE}
         raw = {i: bytes([b]) for b, i in byte_of.items()}
         self.output = [raw[i] if i in raw else b"" if t == CONTROL else p.unknown_surface.encode() if t == UNKNOWN else s.replace(SPACE, " ").encode() for i, (s, t) in enumerate(zip(p.names, p.types))]
@@ -251,14 +252,9 @@ class Transducer:
 
     def _may_follow(self, a: int, b: int) -> bool:
         x, y = self.pieces.names[a], self.pieces.names[b]
-        if len(self.fits) > KEPT:
+        if len(self.fits) > PAIRS:
             self.fits.clear()
-        ok = self.fits[a << 32 | b] = x[-1] + y[0] not in self.inner or self.merge(x + y) == [x, y]
-        return ok
-
-    def _is_whole(self, a: int) -> bool:
-        s = self.pieces.names[a]
-        ok = self.whole[a] = self.merge(s) == [s]
+        ok = self.fits[a * len(self.length) + b] = x[-1] + y[0] not in self.inner or self.merge(x + y) == [x, y]
         return ok
 
     def path(self, run: str) -> list[int | str]:
@@ -266,55 +262,49 @@ class Transducer:
         return self._path_bpe(run) if self.pieces.bpe else self._path_unigram(run)
 
     def _path_bpe(self, run: str) -> list[int | str]:
-        trie, fits, whole = self.trie, self.fits, self.whole
+        length, v, get = self.length, len(self.length), self.fits.get
         n = len(run)
         live: list[int] = [-1] * (n + 1)  # the piece that ends the one finite path to a place; -1: a character without a piece
         back = [-1] * (n + 1)
-        for j in range(n):
-            if j and back[j] < 0:
-                back[j] = j - 1
+        back[0] = 0
+        # Arcs by their ends, the longest first; so the state that an arc leaves is settled when the arc is met.
+        for e, t in self.automaton.iter(run):
+            e += 1
+            if back[e] >= 0:
+                continue
+            j = e - length[t]
             last = live[j]
-            i = j
-            while i < n:
-                i += 1
-                t = trie.get(run[j:i])
-                if t is None:
-                    break
-                if t < 0 or back[i] >= 0:
-                    continue
-                w = whole[t]
-                if w is None:
-                    w = self._is_whole(t)
-                if not w:
+            if last >= 0:
+                ok = get(last * v + t)
+                if ok is None:
+                    ok = self._may_follow(last, t)
+                if not ok:
                     continue
-                if last >= 0:
-                    ok = fits.get(last << 32 | t)
-                    if ok is None:
-                        ok = self._may_follow(last, t)
-                    if not ok:
-                        continue
-                live[i], back[i] = t, j
-        if back[n] < 0:
-            back[n] = n - 1
+            live[e], back[e] = t, j
         out: list[int | str] = []
         i = n
         while i:
-            out.append(live[i] if live[i] >= 0 else run[i - 1])
-            i = back[i]
-        return out[::-1]
+            t = live[i]
+            if t >= 0:
+                out.append(t)
+                i = back[i]
+            else:
+                i -= 1
+                out.append(run[i])
+        out.reverse()
+        return out
 
     def _path_unigram(self, run: str) -> list[int | str]:
-        weight, trie, n = self.weight, self.trie, len(run)
+        weight, length, n = self.weight, self.length, len(run)
+        starts: list[list[int]] = [[] for _ in range(n)]
+        for e, t in self.automaton.iter(run):
+            starts[e + 1 - length[t]].append(t)
         best: list[float | None] = [0.0] + [None] * n
         back, last = [0] * (n + 1), [-1] * (n + 1)
         for j in range(n):
             here, single = best[j], False
-            for i in range(j + 1, min(n, j + self.longest) + 1):
-                t = trie.get(run[j:i])
-                if t is None:
-                    break
-                if t < 0:
-                    continue
+            for t in starts[j]:
+                i = j + length[t]
                 single |= i == j + 1
                 total = _single(here + weight[t])
                 if best[i] is None or total > best[i]:
@@ -331,8 +321,11 @@ class Transducer:
         return out[::-1]
 
     def part_ids(self, part: str) -> tuple[int, ...]:
+        found = self.path(part)
+        if str not in set(map(type, found)):
+            return tuple(found)
         ids: list[int] = []
-        for p in self.path(part):
+        for p in found:
             if isinstance(p, int):
                 ids.append(p)
             elif self.bytes:
@@ -342,25 +335,29 @@ class Transducer:
         return tuple(ids)
 
     def run_ids(self, run: str) -> tuple[int, ...]:
-        """Ids of a run, which is composed part by part where no piece reaches across."""
-        if not self.pieces.bpe:
+        """Ids of a run, which is composed part by part where words meet other characters and no piece reaches across."""
+        parts = _PART.findall(run) if self.pieces.bpe else ()
+        if len(parts) < 2:
             return self.part_ids(run)
-        inner, parts, at = self.inner, self.parts, 0
         out: tuple[int, ...] = ()
-        for i in range(1, len(run) + 1):
-            if i < len(run) and run[i - 1 : i + 1] in inner:
-                continue
-            part = run[at:i]
-            at = i
-            ids = parts.get(part)
-            if ids is None:
-                ids = self.part_ids(part)
-                if len(part) <= 40:
-                    if len(parts) >= KEPT:
-                        parts.clear()
-                    parts[part] = ids
-            out = out + ids if out else ids
-        return out
+        part = parts[0]
+        for following in parts[1:]:
+            if part[-1] + following[0] in self.inner:
+                part += following
+            else:
+                out += self._part(part)
+                part = following
+        return out + self._part(part)
+
+    def _part(self, part: str) -> tuple[int, ...]:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.part_ids(part)
+            if len(part) <= 40:
+                if len(self.parts) >= KEPT:
+                    self.parts.clear()
+                self.parts[part] = ids
+        return ids
 
     def _keep(self, run: str) -> tuple[int, ...]:
         ids = self.run_ids(run)
