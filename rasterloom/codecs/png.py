@@ -238,22 +238,29 @@ def _unfilter(raw: np.ndarray, filters: np.ndarray, above: np.ndarray, bpp: int)
     source[np.arange(width)[None, :] + q[:, None], q[:, None]] = padded.reshape(n, width, bpp)
     kind = np.append(0, filters)[:, None]
     sub, up, avg, paeth = (kind == k for k in (1, 2, 3, 4))
+    only = filters[0] if (filters == filters[0]).all() else 0
+    has_sub, has_up, has_avg, has_paeth = (bool(m.any()) for m in (sub, up, avg, paeth))
     for k in range(1, width + n):
         lo, hi = max(1, k - width + 1), min(n, k) + 1
-        left = grid[k - 1, lo:hi]
-        if k - (hi - 1) == 0:  # the first pixel of a row has nothing to its left
-            left = left.copy()
-            left[-1] = 0
-        over = grid[k - 1, lo - 1 : hi - 1]
-        corner = grid[k - 2, lo - 1 : hi - 1] if k > 1 else np.zeros_like(over)
-        if k - (hi - 1) == 0:
-            corner = corner.copy()
-            corner[-1] = 0
-        pa, pb, pc = np.abs(over - corner), np.abs(left - corner), np.abs(left + over - 2 * corner)
-        guess = np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, over, corner))
-        s = slice(lo, hi)
-        add = np.where(paeth[s], guess, np.where(avg[s], (left + over) >> 1, np.where(up[s], over, np.where(sub[s], left, 0))))
-        grid[k, s] = (source[k, s] + add) & 255
+        # What lies left of a row's first pixel is on a place of the grid that stays 0.
+        left, over = grid[k - 1, lo:hi], grid[k - 1, lo - 1 : hi - 1]
+        if has_paeth:
+            corner = grid[k - 2, lo - 1 : hi - 1] if k > 1 else np.zeros_like(over)
+            da, db = over - corner, left - corner
+            pa, pb, pc = np.abs(da), np.abs(db), np.abs(da + db)
+            add = np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, over, corner))
+        if only == 0:
+            s = slice(lo, hi)
+            add = np.where(paeth[s], add, 0) if has_paeth else np.zeros_like(left)
+            if has_avg:
+                add = np.where(avg[s], (left + over) >> 1, add)
+            if has_up:
+                add = np.where(up[s], over, add)
+            if has_sub:
+                add = np.where(sub[s], left, add)
+        elif only == 3:
+            add = (left + over) >> 1
+        np.bitwise_and(source[k, lo:hi] + add, 255, out=grid[k, lo:hi])
     out = grid[np.arange(width)[None, :] + q[:, None], q[:, None]].reshape(n, width * bpp)
     return out[:, :size].astype(np.uint8)
 
@@ -326,7 +333,8 @@ def _bands(source: Inflater, h: Header, width: int, height: int, normal: Normali
     size = -(-width * h.bits_per_pixel // 8)
     bpp = max(1, h.bits_per_pixel // 8)
     above = np.zeros(size, np.uint8)
-    rows = max(1, min(BAND, (4 << 20) // (size + 1)))
+    # Narrow images go in higher bands: a band has as many diagonals as it is wide and high.
+    rows = max(1, min(4 * BAND if width <= 256 else BAND, (4 << 20) // (size + 1)))
     for y in range(0, height, rows):
         n = min(rows, height - y)
         block = np.frombuffer(source.take(n * (size + 1)), np.uint8).reshape(n, size + 1)
