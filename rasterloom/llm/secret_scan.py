@@ -125,7 +125,9 @@ def scan_history(versions: DataFrame, path: str, content: str, folder: str | Non
     rank = lambda s: F.array_position(F.array(*map(F.lit, keys)), s["rule"]).cast("int") - 1
     kind = lambda s: F.element_at(F.array(*[F.lit(r.kind) for r in rules]), rank(s) + 1)
     shaped = F.transform(own, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), kind(s).alias("kind"), s["end"].alias("end"), s["from"].alias("from"), s["to"].alias("to")))
-    own = known.select("blob", shaped.alias("spans")).where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    own = known.select("blob", shaped.alias("spans")).where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # Two scans at once may both have appended a pair.
+    own = own.withColumn("spans", F.filter("spans", lambda s, i: (i == 0) | (s != F.element_at("spans", F.greatest(i, F.lit(1))))))
     findings = rows.select("path", "blob").join(own, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
     return Scan(findings, fresh)
 
@@ -162,12 +164,12 @@ def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     masks = span.groupBy("blob", "mask").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.min_by("kind", "i").alias("kind"))
     masks = masks.groupBy(F.col("blob").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("from", "to", "kind"))).alias("_masks"))
     rows = rows.join(masks, F.col("_blob") == F.col("_b"), "left")
-    raw, n = F.col("text").cast("binary"), F.size("_masks")
-    # substring() of bytes copies its own part only, so a text is masked in time linear in its length.
     last = lambda i: F.when(i > 0, F.element_at("_masks", i)["to"]).otherwise(F.lit(0))
-    piece = lambda at, to: F.substring(raw, (at + 1).cast("int"), (to - at).cast("int")).cast("string")
-    parts = F.transform("_masks", lambda m, i: F.concat(piece(last(i), m["from"]), F.lit("["), m["kind"], F.lit("]")))
-    masked = F.concat(F.array_join(parts, ""), piece(F.element_at("_masks", n)["to"], F.octet_length("text")))
+    # substring() of bytes copies its own part only, and the bytes are made once, so a text is masked in time linear in its length.
+    piece = lambda raw, at, to: F.substring(raw, (at + 1).cast("int"), (to - at).cast("int")).cast("string")
+    parts = lambda raw: F.transform("_masks", lambda m, i: F.concat(piece(raw, last(i), m["from"]), F.lit("["), m["kind"], F.lit("]")))
+    tail = lambda raw: piece(raw, F.element_at("_masks", F.size("_masks"))["to"], F.octet_length("text"))
+    masked = F.element_at(F.transform(F.array(F.col("text").cast("binary")), lambda raw: F.concat(F.array_join(parts(raw), ""), tail(raw))), 1)
     out = rows.withColumn("text", F.when(F.col("_masks").isNull() | F.col("text").isNull(), F.col("text")).otherwise(masked))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("_masks").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(documents.schema["n_chars"].dataType)))

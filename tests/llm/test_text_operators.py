@@ -418,6 +418,11 @@ def test_secret_ledger_scans_only_what_is_new(spark, tmp_path):
     three = secret_scan.scan_history(later, "path", "content", folder, rules)
     assert {tuple(r.rules) for r in three.fresh.collect()} == {("slack@2",)} and three.fresh.count() == 4
     assert {r.path: [s.kind for s in r.spans] for r in three.findings.collect()}["c"] == ["slack"]
+    # Two scans at once may both append a pair: its spans count once.
+    twice = str(tmp_path / "twice")
+    for _ in range(2):
+        spark.read.schema(secret_scan.LEDGER).parquet(folder).write.mode("append").parquet(twice)
+    assert Counter((r.path, tuple(s.kind for s in r.spans)) for r in secret_scan.scan_history(later, "path", "content", twice).findings.collect()) == kinds
     # The first rules again: what the ledger holds of others stays out.
     assert Counter((r.path, tuple(s.kind for s in r.spans)) for r in secret_scan.scan_history(later, "path", "content", folder).findings.collect()) == kinds
 
