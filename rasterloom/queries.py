@@ -197,6 +197,19 @@ def limits_first_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned(spark, sf_dir).select("request_id", "error_kind", "actual")
 
 
+@_register("zero_limits", f"""WITH {REQUESTS_SQL}, z AS (SELECT request_id, request_id % 7 AS z FROM req)
+SELECT request_id, CASE z WHEN 0 THEN 'LimitExceeded.InputBytes' WHEN 1 THEN 'InvalidLimit.max_width' WHEN 2 THEN 'InvalidLimit.max_pixels' WHEN 3 THEN 'InvalidLimit.max_working_memory_bytes' WHEN 4 THEN 'ZeroDimension.height' WHEN 5 THEN 'ZeroDimension.max_box_width' END AS error_kind FROM z""")
+def zero_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits, images and boxes that are zero: the byte limit is told before limits that are none, those before empty images, and these before empty boxes."""
+    z = F.col("request_id") % 7
+    r = requests(spark, sf_dir).withColumns({"encoded_bytes": F.lit(10).cast("bigint"), "source_bpp": F.lit(4).cast("bigint"), "interlaced": F.lit(False), "writer": F.lit(False), "adapter_bytes": F.lit(0).cast("bigint"), "width": F.lit(8).cast("bigint"), "allow_upscale": F.lit(False)})
+    r = r.withColumns({"height": F.when(z == 4, 0).otherwise(6).cast("bigint"), "max_box_width": F.when(z == 5, 0).otherwise(4).cast("bigint"), "max_box_height": F.lit(4).cast("bigint")})
+    zero = {"max_input_bytes": z == 0, "max_width": (z == 0) | (z == 1), "max_pixels": z == 2, "max_working_memory_bytes": z == 3}
+    names = ("max_input_bytes", "max_width", "max_height", "max_pixels", "max_output_width", "max_output_height", "max_output_pixels", "max_working_memory_bytes")
+    r = r.withColumns({f"limit_{n}": F.when(zero.get(n, F.lit(False)), 0).otherwise(1 << 30).cast("bigint") for n in names})
+    return admission.plan(r).select("request_id", "error_kind")
+
+
 @_register("preflight", _plan_sql(f"SELECT request_id, ow AS out_width, oh AS out_height, total_bytes <= {_FIXTURE_LIMITS['max_working_memory_bytes']} AS within_memory_limit, CASE WHEN error_kind = 'LimitExceeded.WorkingMemory' THEN NULL ELSE error_kind END AS error_kind FROM k"))
 def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned(spark, sf_dir, enforce=False).select("request_id", "out_width", "out_height", "within_memory_limit", "error_kind")
@@ -570,6 +583,58 @@ def png_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.groupBy(F.col("image_id").cast("bigint").alias("image_id"), "y").agg(F.count("*").alias("n"), sum_.alias("checksum"))
 
 
+# Events as files of raw samples: 25 wide, 20 high, one sample an event, those without an event 0.
+_RAW_FILES_SQL = """n AS (SELECT max(event_id) // 500 + 1 AS n FROM events), g AS (SELECT unnest(range(n * 500)) AS e FROM n),
+f AS (SELECT e // 500 AS image_id, e % 500 // 25 AS y, e % 25 AS x, coalesce(v.event_id, 0) AS v FROM g LEFT JOIN (SELECT DISTINCT event_id FROM events) v ON v.event_id = g.e)"""
+
+
+def _raw_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """(path, content): gray files of 16 bits whose sample 155 is transparent, or files of 4 bits with a palette of 16 colours, the first five of them not opaque."""
+    e = _table(spark, sf_dir, "events").where("event_id IS NOT NULL").select("event_id").distinct()
+
+    def build(key, table):
+        import struct
+
+        import numpy as np
+        import pyarrow as pa
+
+        from .sources.images import encode_raw
+
+        i = table.column("event_id").to_numpy()
+        v = np.zeros(500, np.int64)
+        v[i % 500] = i
+        if kind == "gray16":
+            data = encode_raw((v * 31 % 65536).reshape(20, 25, 1), 16, 0, trns=struct.pack(">H", 155))
+        else:
+            colors = np.arange(16)
+            palette = np.stack([colors * 16, 255 - colors * 16, colors * 5], axis=1).astype(np.uint8).tobytes()
+            data = encode_raw((v * 7 % 16).reshape(20, 25, 1), 4, 3, palette, bytes(range(0, 250, 50)))
+        return pa.table({"path": pa.array([str(key[0].as_py())]), "content": pa.array([data], pa.binary())})
+
+    return e.withColumn("image_id", P.div(F.col("event_id"), 500)).groupBy("image_id").applyInArrow(build, "path string, content binary")
+
+
+def _raw_file_pixels(kind: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .operators.thumbnail import decode_rows, row_pixels
+
+        return row_pixels(decode_rows(_raw_files(spark, sf_dir, kind))).withColumn("image_id", F.col("image_id").cast("bigint"))
+
+    return query
+
+
+_register("png_gray16", f"WITH {_RAW_FILES_SQL}, s AS (SELECT image_id, y, x, v * 31 % 65536 AS s FROM f), q AS (SELECT *, (s * 255 + 32767) // 65535 AS q FROM s) SELECT image_id, y, x, q AS r, q AS g, q AS b, CASE WHEN s = 155 THEN 0 ELSE 255 END AS a FROM q")(_raw_file_pixels("gray16"))
+_register("png_palette", f"WITH {_RAW_FILES_SQL}, s AS (SELECT image_id, y, x, v * 7 % 16 AS s FROM f) SELECT image_id, y, x, s * 16 AS r, 255 - s * 16 AS g, s * 5 AS b, CASE WHEN s < 5 THEN s * 50 ELSE 255 END AS a FROM s")(_raw_file_pixels("palette"))
+
+
+@_register("png_headers_of_files", f"WITH {_RAW_FILES_SQL}, i AS (SELECT DISTINCT image_id FROM f) SELECT image_id::VARCHAR AS path, kind, 25::BIGINT AS width, 20::BIGINT AS height, CASE kind WHEN 'gray16' THEN 'grayscale' ELSE 'indexed' END AS color_type, CASE kind WHEN 'gray16' THEN 16::BIGINT ELSE 4::BIGINT END AS bit_depth, CASE kind WHEN 'gray16' THEN 2::BIGINT ELSE 5::BIGINT END AS raw_trns_length, CASE kind WHEN 'gray16' THEN 2::BIGINT ELSE 1::BIGINT END AS source_bpp, CASE kind WHEN 'gray16' THEN 'grayscale-alpha8' ELSE 'rgba8' END AS auto_color FROM i, (VALUES ('gray16'), ('palette')) t(kind)")
+def png_headers_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.images import inspect
+
+    both = [inspect(_raw_files(spark, sf_dir, kind), keep_content=False).withColumn("kind", F.lit(kind)) for kind in ("gray16", "palette")]
+    return both[0].unionByName(both[1]).select("path", "kind", "width", "height", "color_type", "bit_depth", "raw_trns_length", "source_bpp", "auto_color")
+
+
 @_register("png_roundtrip", f"WITH {_IMAGES_SQL} SELECT image_id::VARCHAR AS path, 64::BIGINT AS out_width, 50::BIGINT AS out_height, 'image/png' AS mime_type, TRUE AS same FROM i")
 def png_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PNG thumbnails of full size decode to the pixels that raw RGBA gives."""

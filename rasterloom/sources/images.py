@@ -144,6 +144,27 @@ def encode_interlaced(frame: np.ndarray) -> bytes:
     return png.SIGNATURE + png.chunk(b"IHDR", head) + png.chunk(b"IDAT", out) + png.chunk(b"IEND", b"")
 
 
+def encode_raw(samples: np.ndarray, depth: int, color: int, palette: bytes | None = None, trns: bytes | None = None) -> bytes:
+    """A PNG of raw samples (height x width x channels) of any colour type and depth, its rows without filters."""
+    import struct
+    import zlib
+
+    height, width = samples.shape[:2]
+    if depth == 16:
+        rows = samples.astype(">u2").reshape(height, -1).view(np.uint8)
+    elif depth == 8:
+        rows = samples.astype(np.uint8).reshape(height, -1)
+    else:
+        bits = (samples.reshape(height, -1, 1) >> np.arange(depth)[::-1]) & 1
+        rows = np.packbits(bits.astype(np.uint8).reshape(height, -1), axis=1)
+    data = np.concatenate([np.zeros((height, 1), np.uint8), rows], axis=1).tobytes()
+    out = png.SIGNATURE + png.chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, color, 0, 0, 0))
+    for kind, body in ((b"PLTE", palette), (b"tRNS", trns)):
+        if body is not None:
+            out += png.chunk(kind, body)
+    return out + png.chunk(b"IDAT", zlib.compress(data)) + png.chunk(b"IEND", b"")
+
+
 def corpus(spark: SparkSession, cases: list[tuple[str, int, int, str, bool]]) -> DataFrame:
     """(path, length, content) of generated images; cases are (name, width, height, pattern, interlaced)."""
     rows = spark.createDataFrame(cases, "name string, width int, height int, pattern string, interlaced boolean").repartition(max(1, len(cases)))
