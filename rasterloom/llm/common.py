@@ -47,8 +47,12 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """df in four partitions a core at most. A file costs the same whatever it holds (a local file system even starts a process for its mode), and more tasks than that don't run side by side."""
-    return df.coalesce(max(32, 4 * df.sparkSession.sparkContext.defaultParallelism))
+    """df in no more partitions than four a core, or one for four shuffle partitions if that is more.
+
+    A file costs the same whatever it holds (a local file system even starts a process for its mode), and a task still reads no more than four shuffle partitions at any size.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(32, 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
 
 
 def cut(df: DataFrame) -> DataFrame:
