@@ -46,21 +46,22 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """df in no more partitions than four a core, or one for four shuffle partitions if that is more.
+def few_files(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df in no more partitions than four a core, or one for four shuffle partitions if that is more; of about `rows` small rows, one for 50,000.
 
     A file costs the same whatever it holds (a local file system even starts a process for its mode), and a task still reads no more than four shuffle partitions at any size.
     """
     spark = df.sparkSession
-    return df.coalesce(max(32, 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+    most = max(32, 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    return df.coalesce(most if rows is None else min(most, 1 + rows // 50_000))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends in files that outlive executors."""
     spark = df.sparkSession
     path = new_folder(spark, "cut")
     schema = df.schema
-    few_files(df).write.parquet(path)
+    few_files(df, rows).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

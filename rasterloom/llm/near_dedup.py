@@ -178,11 +178,15 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float, width: int = SHI
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for the vertices of edges (a, b): root is the least vertex of the connected component.
 
-    Alternates large-star and small-star steps. Each round's edges are written to the shared folder.
+    Alternates large-star and small-star steps. Each round's edges are written to the shared folder; they are no more than the round's before.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before or not now[0]:
+            return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
+        before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: each neighbour above u points to u's least neighbour.
@@ -190,11 +194,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: u and its smaller neighbours point to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
-        before = now
+        edges = cut(small.where("u <> v").distinct(), now[0])
 
 
 def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:

@@ -212,10 +212,11 @@ def _cut_out(window: int):
 def compacted(links: DataFrame) -> DataFrame:
     """(v, root) for links (u, v) of paths without branches or cycles: root is the path's first element. Pointer doubling, a join a round."""
     paths = cut(links.select("v", F.col("u").alias("root"), F.lit(False).alias("done")))
+    n = paths.count()
     while not (live := paths.where("NOT done")).isEmpty():
         ahead = paths.select(F.col("v").alias("at"), F.col("root").alias("to"))
         moved = live.join(ahead, live["root"] == ahead["at"], "left").select("v", F.coalesce("to", "root").alias("root"), F.col("to").isNull().alias("done"))
-        paths = cut(paths.where("done").unionByName(moved))
+        paths = cut(paths.where("done").unionByName(moved), n)
     return paths.select("v", "root")
 
 
