@@ -62,7 +62,17 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     path = new_folder(spark, "cut")
     schema = df.schema
     few_files(df, rows).write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes what cut() wrote for frames that nothing will read again."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._cut)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def doc_key(col: str) -> F.Column:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Words, combine, cut, mix, runs, slices
+from .common import Words, combine, cut, drop, mix, runs, slices
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 50, 7
 #: Rounds of pivots; texts and bytes of text in a block of what they leave.
@@ -194,7 +194,9 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: u and its smaller neighbours point to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct(), now[0])
+        after = cut(small.where("u <> v").distinct(), now[0])
+        drop(edges)
+        edges = after
 
 
 def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:

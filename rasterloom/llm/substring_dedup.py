@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, combine, cut, doc_key, from_key, mix, runs, slices
+from .common import Words, combine, cut, doc_key, drop, from_key, mix, runs, slices
 
 WINDOW, EDGE = 20, 6
 _U = np.uint64
@@ -216,7 +216,9 @@ def compacted(links: DataFrame) -> DataFrame:
     while not (live := paths.where("NOT done")).isEmpty():
         ahead = paths.select(F.col("v").alias("at"), F.col("root").alias("to"))
         moved = live.join(ahead, live["root"] == ahead["at"], "left").select("v", F.coalesce("to", "root").alias("root"), F.col("to").isNull().alias("done"))
-        paths = cut(paths.where("done").unionByName(moved), n)
+        after = cut(paths.where("done").unionByName(moved), n)
+        drop(paths)
+        paths = after
     return paths.select("v", "root")
 
 
@@ -227,7 +229,9 @@ def elements(docs: DataFrame, window: int, edge: int) -> DataFrame:
     hit = cut(pieces.join(met, "edge"))
     kinds = cut(hit.groupBy("edge", "piece").agg(F.min("d").alias("lead"), F.max("d").alias("last")))
     forks = kinds.groupBy("edge").agg(F.count("*").alias("n")).where("n > 1").select("edge", F.lit(True).alias("fork"))
-    hit = cut(hit.join(kinds.join(forks, "edge", "left"), ["edge", "piece"]).where("fork OR lead < last"))
+    met = cut(hit.join(kinds.join(forks, "edge", "left"), ["edge", "piece"]).where("fork OR lead < last"))
+    drop(hit, kinds)
+    hit = met
     at = F.col("at")
     tag = F.shiftright(at, 41)
     asked = hit.where("fork AND d = lead").groupBy("d", tag.alias("tag")).agg(F.collect_list("at").alias("asked"))
@@ -239,7 +243,9 @@ def elements(docs: DataFrame, window: int, edge: int) -> DataFrame:
         key = F.xxhash64("edge", "piece", F.lit(single))
         return rows.select(key.alias("id"), "d", tag.alias("tag"), F.lit(single).alias("single"), low.alias("low"), (low + at.bitwiseAND(63)).alias("high"))
 
-    return cut(shaped(hit.where("lead < last"), False).unionByName(shaped(opened.join(seen, ["edge", "piece"]), True)))
+    found = cut(shaped(hit.where("lead < last"), False).unionByName(shaped(opened.join(seen, ["edge", "piece"]), True)))
+    drop(hit, opened)
+    return found
 
 
 def unbranched(found: DataFrame) -> DataFrame:
@@ -261,9 +267,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) -> D
     found = elements(docs, window, edge)
     roots = compacted(unbranched(found))
     whole = found.join(roots, found["id"] == roots["v"], "left").groupBy("d", "tag", F.coalesce("root", "id").alias("path"))
-    spans = cut(whole.agg(F.min("low").alias("low"), (F.max("high") - F.min("low") + window).alias("n")))
-    lead = spans.groupBy("path").agg(F.min("d").alias("lead"), F.max("d").alias("last")).where("lead < last").select("path", "lead")
-    spans = cut(spans.join(lead, "path"))
+    whole = cut(whole.agg(F.min("low").alias("low"), (F.max("high") - F.min("low") + window).alias("n")))
+    drop(found)
+    lead = whole.groupBy("path").agg(F.min("d").alias("lead"), F.max("d").alias("last")).where("lead < last").select("path", "lead")
+    spans = cut(whole.join(lead, "path"))
+    drop(whole)
     asked = spans.where("d = lead").groupBy("d", "tag").agg(F.collect_list(F.struct("path", "low", "n")).alias("asked"))
     source = cut(docs.join(asked, ["d", "tag"]).select("text", "asked").mapInArrow(_sources, "path bigint, digest binary").distinct())
     return spans.where("d > lead").join(source, "path").select("d", "tag", "low", "n", "digest")
