@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where none is configured and executors run in this process (local mode)."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not conf and not spark.sparkContext.master.startswith("local["):
+    if not conf and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return conf or f"{tempfile.gettempdir()}/rasterloom-checkpoints"
 
