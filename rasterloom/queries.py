@@ -64,7 +64,7 @@ def _folder(spark: SparkSession, kind: str) -> str:
     import uuid
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local["):
+    if not shared and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{shared or tempfile.gettempdir()}/{kind}-{uuid.uuid4().hex}"
 
