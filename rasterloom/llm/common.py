@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,12 +57,16 @@ def few_files(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.coalesce(most if rows is None else min(most, 1 + rows // 50_000))
 
 
+#: For scratch tables on a local file system: without files of checksums, and without a process for each new file's mode, which shares its JVM's memory for a moment. Other file systems ignore them.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends in files that outlive executors."""
     spark = df.sparkSession
     path = new_folder(spark, "cut")
     schema = df.schema
-    few_files(df, rows).write.parquet(path)
+    few_files(df, rows).write.options(**PLAIN).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._cut = path
     return out
@@ -75,6 +80,50 @@ def drop(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns to the system what this process's allocators keep of freed memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
+#: What empties the tables that a worker keeps from task to task because they are costly to fill, by the name of their operator.
+TABLES: dict[str, Callable[[], None]] = {}
+
+
+def only(tables: str) -> None:
+    """Empties the tables of all operators but one, of those that this process has."""
+    for name, empty in TABLES.items():
+        if name != tables:
+            empty()
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: Run, tables: str = "") -> Run:
+    """run for mapInArrow, in a worker that gives back freed memory after each batch and at first empties the tables of operators other than `tables`.
+
+    Workers outlive tasks, and what they keep adds to their executor's memory.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(tables)
+        give_back()
+        yield from run(each(batches))
+        give_back()
+
+    return given
+
+
 def doc_key(col: str) -> F.Column:
     """Orders documents by id; a null id ranks before every other."""
     return F.coalesce(F.col(col).cast("bigint"), F.lit(NULL_ID))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, slices, training_sample
+from .common import Words, cut, give_back, lean, slices, training_sample
 from .style import N_STYLE, style
 
 DOMAINS = ("clean", "low", "toxic")
@@ -118,6 +118,7 @@ def memberships(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     """doc_id, n_tokens (words) and a posterior per domain, p_<domain>."""
     spark = documents.sparkSession
     model = spark.sparkContext.broadcast(fit(labelled(documents, labels, sample)))
+    give_back()  # what fitting took of the driver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +127,7 @@ def memberships(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64))] + [pa.array(p[:, j]) for j in range(p.shape[1])], names=["doc_id", "n_tokens"] + [f"p_{d}" for d in DOMAINS])
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint" + "".join(f", p_{d} double" for d in DOMAINS))
+    return rows.mapInArrow(lean(run), "doc_id bigint, n_tokens bigint" + "".join(f", p_{d} double" for d in DOMAINS))
 
 
 @dataclass

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Words, combine, cut, drop, mix, runs, slices
+from .common import Words, combine, cut, drop, lean, mix, runs, slices
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 50, 7
 #: Rounds of pivots; texts and bytes of text in a block of what they leave.
@@ -172,7 +172,7 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float, width: int = SHI
     """The pairs (a, b) of ids whose whole texts are similar enough. Both joins read the texts by one exchange."""
     left = docs.select(F.col("d").alias("a"), F.col("text").alias("ta"))
     right = docs.select(F.col("d").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verified(threshold, width, weighted), "a bigint, b bigint").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(lean(_verified(threshold, width, weighted)), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -277,17 +277,17 @@ def links_between_classes(open_: DataFrame, texts: DataFrame, threshold: float,
     blocks = F.greatest(F.ceil(F.count("*") / size), F.ceil(F.sum(F.octet_length("text")) / limit)).cast("bigint")
     dealt = dealt.join(dealt.groupBy("g").agg(blocks.alias("blocks")), "g").withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")))
     # By block, so that the blocks of one large group don't meet in one task.
-    rows = dealt.select("g", "block", "blocks", "d", "root", "text").repartition("g", "block").mapInArrow(_shingled(width, weighted), "g bigint, block bigint, blocks bigint, d bigint, root bigint, sh array<bigint>")
+    rows = dealt.select("g", "block", "blocks", "d", "root", "text").repartition("g", "block").mapInArrow(lean(_shingled(width, weighted)), "g bigint, block bigint, blocks bigint, d bigint, root bigint, sh array<bigint>")
     packed = cut(rows.groupBy("g", "block", "blocks").agg(F.collect_list(F.struct("root", "sh")).alias("own")))
     left = packed.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select("g", F.col("other").alias("block"), F.col("own").alias("left"))
     right = packed.select("g", "block", F.col("own").alias("right"))
-    return left.join(right, ["g", "block"]).select("left", "right").mapInArrow(_linked(threshold), "a bigint, b bigint").distinct()
+    return left.join(right, ["g", "block"]).select("left", "right").mapInArrow(lean(_linked(threshold)), "a bigint, b bigint").distinct()
 
 
 def near_duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = True, stars: int = STARS) -> DataFrame:
     """doc_id, class_id, is_first (the row's document stands for its class)."""
     docs = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("d"), F.col("text"))
-    signed = cut(docs.mapInArrow(_signed(bands, rows, width, weighted), "d bigint, own binary, n bigint, keys array<bigint>"))
+    signed = cut(docs.mapInArrow(lean(_signed(bands, rows, width, weighted)), "d bigint, own binary, n bigint, keys array<bigint>"))
     # Written, so that the joins get plain exchanges, whose hot keys Spark can split.
     first = cut(signed.where("n > 0").groupBy("own").agg(F.min("d").alias("rep")))
     keyed = signed.where("n > 0").select("d", "own").join(first, "own")

@@ -12,7 +12,7 @@ character without a piece its UTF-8 bytes' pieces. User-defined pieces pass the
   position has one live state. Which pairs may meet is compiled on demand and kept. User-defined pieces are cut out first and meet any neighbour.
 
 In a BPE model where no piece holds U+2581 after another character, the input is composed run by run, each of spaces and what follows up to the next space; runs seen lately
-are kept, in tables of bounded size. Text is never cut otherwise.
+are kept, in tables of bounded size that a worker empties before a task of another operator. Text is never cut otherwise.
 
 Defined results: null and empty texts have no ids and decode to the empty text; with the identity normaliser U+2581 in a text decodes to a space, as in the model's
 library; invalid ids are an error; a null id of a row stays null; repeated rows are each encoded; an empty table gives an empty result; other columns are
@@ -26,7 +26,7 @@ import re
 import struct
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -36,15 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import TABLES, lean, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _FLOAT = struct.Struct("f")
 _PART = re.compile(f"{SPACE}*\\w+|[^\\w{SPACE}]+|{SPACE}+")
 _RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Entries of the tables of runs and of pairs of pieces; a full one is emptied.
-KEPT, PAIRS = 300_000, 500_000
+#: About the bytes of the table of runs and their parts, and entries of that of pairs of pieces. A full table of runs is kept until the next is full, and entries that are met again move on to it.
+KEPT, PAIRS = 48 << 20, 500_000
 
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -141,7 +141,7 @@ class Normaliser:
                     ok = True
                     break
                 at ^= _offset(unit)
-            if len(self.plain) > KEPT:
+            if len(self.plain) > PAIRS:
                 self.plain.clear()
             self.plain[c] = ok
         return ok
@@ -199,16 +199,39 @@ def _single(x: float) -> float:
     return _FLOAT.unpack(_FLOAT.pack(x))[0]
 
 
+class Kept:
+    """Ids of short strings met lately, in a table and the one before it, each of bounded size."""
+
+    def __init__(self) -> None:
+        self.now: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.size = 0
+
+    def empty(self) -> None:
+        self.now, self.old, self.size = {}, {}, 0
+
+    def add(self, text: str, make: Callable[[str], tuple[int, ...]]) -> tuple[int, ...]:
+        """The ids of a text that `now` lacks, from the old table or made."""
+        ids = self.old.get(text)
+        if ids is None:
+            ids = make(text)
+        if len(text) <= 40:
+            if self.size >= KEPT:
+                self.old, self.now, self.size = self.now, {}, 0
+            self.now[text] = ids
+            self.size += 200 + 4 * len(text) + 8 * len(ids)
+        return ids
+
+
 @dataclass
 class Transducer:
     pieces: Pieces
     arcs: dict[str, int] = field(init=False)
-    kept: dict[str, tuple[int, ...]] = field(init=False, default_factory=dict)
-    parts: dict[str, tuple[int, ...]] = field(init=False, default_factory=dict)
 
     def __post_init__(self) -> None:
         p = self.pieces
         self.normalise = Normaliser(p)
+        self.kept = Kept()
         user = {s: i for i, (s, t) in enumerate(zip(p.names, p.types)) if t == USER}
         self.arcs = {s: i for i, (s, t) in enumerate(zip(p.names, p.types)) if t == NORMAL or t == USER and not p.bpe}
         #: User-defined pieces that are cut out before pieces are composed.
@@ -350,22 +373,14 @@ class Transducer:
         return out + self._part(part)
 
     def _part(self, part: str) -> tuple[int, ...]:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self.part_ids(part)
-            if len(part) <= 40:
-                if len(self.parts) >= KEPT:
-                    self.parts.clear()
-                self.parts[part] = ids
-        return ids
+        ids = self.kept.now.get(part)
+        return self.kept.add(part, self.part_ids) if ids is None else ids
 
-    def _keep(self, run: str) -> tuple[int, ...]:
-        ids = self.run_ids(run)
-        if len(run) <= 40:
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            self.kept[run] = ids
-        return ids
+    def empty(self) -> None:
+        """Empties the tables, which fill again as they are needed."""
+        self.kept.empty()
+        self.fits.clear()
+        self.normalise.plain.clear()
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -377,10 +392,10 @@ class Transducer:
             runs = _RUN.findall(text) if self.by_runs else [text]
         if self.user is not None:
             return self._merged(chain.from_iterable(self._around(text)))
-        found = list(map(self.kept.get, runs))
+        found = list(map(self.kept.now.get, runs))
         if None in found:
-            keep = self._keep
-            found = [x if x is not None else keep(r) for x, r in zip(found, runs)]
+            add, make = self.kept.add, self.run_ids
+            found = [x if x is not None else add(r, make) for x, r in zip(found, runs)]
         return self._merged(chain.from_iterable(found))
 
     def _around(self, text: str) -> Iterator[tuple[int, ...]]:
@@ -426,6 +441,14 @@ class Transducer:
 _built: dict[str, Transducer] = {}
 
 
+def _empty() -> None:
+    for fst in _built.values():
+        fst.empty()
+
+
+TABLES["sentencepiece_fst"] = _empty
+
+
 def _of(shared: _Shared) -> Transducer:
     """One transducer for each worker and model, told apart by the model file's hash."""
     if shared.key not in _built:
@@ -466,7 +489,7 @@ def add_ids(documents: DataFrame, text: str = "text", model: str = MODEL, check:
                 yield pa.RecordBatch.from_arrays(part.columns + new, names=part.schema.names + names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return documents.mapInArrow(run, f"{fields}, n_tokens bigint, ids array<int>" + ", round_trip boolean" * check)
+    return documents.mapInArrow(lean(run, "sentencepiece_fst"), f"{fields}, n_tokens bigint, ids array<int>" + ", round_trip boolean" * check)
 
 
 def decode_ids(tokens: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -483,7 +506,7 @@ def decode_ids(tokens: DataFrame, ids: str = "ids", model: str = MODEL) -> DataF
                 yield pa.RecordBatch.from_arrays(part.columns + [pa.array([fst.decode(x) for x in part.column(ids).to_pylist()], pa.string())], names=part.schema.names + ["text_decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
-    return tokens.mapInArrow(run, f"{fields}, text_decoded string")
+    return tokens.mapInArrow(lean(run, "sentencepiece_fst"), f"{fields}, text_decoded string")
 
 
 def encode_table(documents: DataFrame, model: str = MODEL) -> DataFrame:
