@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pixels import ceil_div, div
@@ -43,18 +43,16 @@ class Axis:
     stop: Column
     span: Column
 
-    def cells(self, i: Column) -> Column:
-        """The output cells that source cell i overlaps, with the overlaps: array<struct<o, w>>, empty outside the crop."""
-        a = F.greatest(i * self.cell, self.start)
-        b = F.least((i + 1) * self.cell, self.stop)
-        first = div(a - self.start, self.span)
-        last = ceil_div(b - self.start, self.span) - 1
-        # sequence() would count downwards where nothing overlaps.
-        found = F.transform(
-            F.sequence(first, F.greatest(first, last)),
-            lambda o: F.struct(o.alias("o"), (F.least(b, self.start + (o + 1) * self.span) - F.greatest(a, self.start + o * self.span)).alias("w")),
-        )
-        return F.when(a < b, found).otherwise(F.array().cast("array<struct<o:bigint,w:bigint>>"))
+    def overlaps(self, rows: DataFrame, i: str, o: str, w: str) -> DataFrame:
+        """The rows by output cell that source cell i overlaps, with columns o and w (the overlap). Rows outside the crop vanish.
+
+        Only explode and arithmetic: a lambda would be interpreted, one source cell at a time.
+        """
+        a = F.greatest(F.col(i) * self.cell, self.start)
+        b = F.least((F.col(i) + 1) * self.cell, self.stop)
+        # Where a < b the sequence never counts downwards.
+        found = rows.where(a < b).withColumn(o, F.explode(F.sequence(div(a - self.start, self.span), ceil_div(b - self.start, self.span) - 1)))
+        return found.withColumn(w, F.least(b, self.start + (F.col(o) + 1) * self.span) - F.greatest(a, self.start + F.col(o) * self.span))
 
 
 def axes(fit: Column, sw: Column, sh: Column, ow: Column, oh: Column) -> tuple[Axis, Axis]:

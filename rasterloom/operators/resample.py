@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import axes
+from ..functions.geometry import Axis, axes
 from ..functions.pixels import div, rounded_div
 
 SUMS = ("w", "sa", "sr", "sg", "sb")
@@ -26,14 +26,16 @@ def safe_in_bigint(span_x: int, span_y: int) -> bool:
 
 
 def axis_overlaps(images: DataFrame) -> DataFrame:
-    """(image_id, axis, src, out, w) of images (image_id, width, height, fit, out_width, out_height)."""
-    x, y = axes(F.col("fit"), F.col("width"), F.col("height"), F.col("out_width"), F.col("out_height"))
-    parts = []
-    for name, axis, n in (("x", x, "width"), ("y", y, "height")):
-        rows = images.withColumn("src", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)))
-        rows = rows.withColumn("c", F.explode(axis.cells(F.col("src"))))
-        parts.append(rows.select("image_id", F.lit(name).alias("axis"), "src", F.col("c.o").alias("out"), F.col("c.w").alias("w")))
-    return parts[0].unionByName(parts[1])
+    """(image_id, axis, src, out, w) of images (image_id, width, height, fit, out_width, out_height).
+
+    Images are few bytes and many overlaps: they are dealt out by their values first, as a file may hold them all in one piece.
+    """
+    sides = axes(F.col("fit"), F.col("width"), F.col("height"), F.col("out_width"), F.col("out_height"))
+    kinds = [F.struct(F.lit(name).alias("axis"), F.col(n).alias("n"), *[v.cast("bigint").alias(k) for k, v in vars(side).items()]) for name, n, side in zip("xy", ("width", "height"), sides)]
+    each = images.select("image_id", "width", "height", "fit", "out_width", "out_height")
+    each = each.repartition(*each.columns).select("image_id", F.inline(F.array(*kinds))).where("n > 0")
+    rows = each.withColumn("src", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    return Axis(*[F.col(k) for k in ("cell", "start", "stop", "span")]).overlaps(rows, "src", "out", "w").select("image_id", "axis", "src", "out", "w")
 
 
 def _weighted(weight: Column, wide: bool) -> list[Column]:
@@ -52,18 +54,18 @@ def pixel_of(sums: DataFrame) -> DataFrame:
 def cell_sums(pixels: DataFrame, wide: bool = False) -> DataFrame:
     """(image_id, oy, ox, w, sa, sr, sg, sb) of pixels (image_id, y, x, r, g, b, a, width, height, fit, out_width, out_height)."""
     ax, ay = axes(F.col("fit"), F.col("width"), F.col("height"), F.col("out_width"), F.col("out_height"))
-    rows = pixels.withColumn("cx", F.explode(ax.cells(F.col("x")))).withColumn("cy", F.explode(ay.cells(F.col("y"))))
-    return rows.groupBy("image_id", F.col("cy.o").alias("oy"), F.col("cx.o").alias("ox")).agg(*_weighted(F.col("cx.w") * F.col("cy.w"), wide))
+    rows = ay.overlaps(ax.overlaps(pixels, "x", "ox", "wx"), "y", "oy", "wy")
+    return rows.groupBy("image_id", "oy", "ox").agg(*_weighted(F.col("wx") * F.col("wy"), wide))
 
 
 def cell_sums_by_rows(pixels: DataFrame, wide: bool = False) -> DataFrame:
     """The same sums by way of rows: over x within each source row first, then over y."""
     ax, ay = axes(F.col("fit"), F.col("width"), F.col("height"), F.col("out_width"), F.col("out_height"))
-    rows = pixels.withColumn("cx", F.explode(ax.cells(F.col("x"))))
+    rows = ax.overlaps(pixels, "x", "ox", "wx")
     size = ("width", "height", "fit", "out_width", "out_height")
-    across = rows.groupBy("image_id", "y", F.col("cx.o").alias("ox"), *size).agg(*_weighted(F.col("cx.w"), wide))
-    down = across.withColumn("cy", F.explode(ay.cells(F.col("y"))))
-    return down.groupBy("image_id", F.col("cy.o").alias("oy"), "ox").agg(*[F.sum(F.col(s) * F.col("cy.w")).cast(_type(wide)).alias(s) for s in SUMS])
+    across = rows.groupBy("image_id", "y", "ox", *size).agg(*_weighted(F.col("wx"), wide))
+    down = ay.overlaps(across, "y", "oy", "wy")
+    return down.groupBy("image_id", "oy", "ox").agg(*[F.sum(F.col(s) * F.col("wy")).cast(_type(wide)).alias(s) for s in SUMS])
 
 
 def resample(pixels: DataFrame, wide: bool = False) -> DataFrame:
