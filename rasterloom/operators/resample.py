@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Axis, axes
 from ..functions.pixels import div, rounded_div
+from .deal import dealt
 
 SUMS = ("w", "sa", "sr", "sg", "sb")
 
@@ -33,7 +34,7 @@ def axis_overlaps(images: DataFrame) -> DataFrame:
     sides = axes(F.col("fit"), F.col("width"), F.col("height"), F.col("out_width"), F.col("out_height"))
     kinds = [F.struct(F.lit(name).alias("axis"), F.col(n).alias("n"), *[v.cast("bigint").alias(k) for k, v in vars(side).items()]) for name, n, side in zip("xy", ("width", "height"), sides)]
     each = images.select("image_id", "width", "height", "fit", "out_width", "out_height")
-    each = each.repartition(*each.columns).select("image_id", F.inline(F.array(*kinds))).where("n > 0")
+    each = dealt(each).select("image_id", F.inline(F.array(*kinds))).where("n > 0")
     rows = each.withColumn("src", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     return Axis(*[F.col(k) for k in ("cell", "start", "stop", "span")]).overlaps(rows, "src", "out", "w").select("image_id", "axis", "src", "out", "w")
 

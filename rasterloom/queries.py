@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import pixels as P
 from .functions.geometry import contain, cover
 from .operators import normalize, resample, rows
+from .operators.deal import dealt
 from .plans import admission
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -342,12 +343,11 @@ c AS (SELECT doc_id, count(*) AS n, sum((x + 1) * ((v * 255 + ((1 << bits) - 1)
 SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(checksum, 0) AS checksum FROM (SELECT DISTINCT doc_id FROM t) d LEFT JOIN c USING (doc_id)""")
 def normalize_gray_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The characters of each text as the bytes of a packed row of 1, 2 or 4 bits; a null or empty text has no samples and sum 0."""
-    t = _table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    # Texts are dealt out before they become some five rows a character: a file may hold them all in one piece.
+    t = dealt(_table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "text"))
     bits = F.call_function("shiftleft", F.lit(1), (F.col("doc_id") % 3).cast("int")).cast("bigint")
-    bytes_ = F.transform(F.split("text", ""), lambda c: F.ascii(c) % 256)
-    rows_ = t.where("length(text) > 0").select("doc_id", bits.alias("bits"), bytes_.alias("packed")).withColumn("width", P.div(F.size("packed") * F.lit(8).cast("bigint"), F.col("bits")))
-    none = t.where("text IS NULL OR length(text) = 0").select("doc_id", bits.alias("bits"), F.lit(None).cast("bigint").alias("x"), F.lit(None).cast("bigint").alias("sample"))
-    px = normalize.unpack_rows(rows_, ["doc_id", "bits"], "packed", "width", "bits").unionByName(none)
+    chars = t.select("doc_id", bits.alias("bits"), F.posexplode_outer(F.when(F.length("text") > 0, F.split("text", ""))).alias("j", "char"))
+    px = normalize.unpack_bytes(chars.select("doc_id", "bits", "j", (F.ascii("char") % 256).alias("byte")), ["doc_id", "bits"], "j", "byte", "bits")
     gray = normalize.gray_pixel(F.col("sample"), F.col("bits"))["r"]
     return px.groupBy("doc_id").agg(F.count("x").alias("n"), F.coalesce(F.sum((F.col("x") + 1) * gray), F.lit(0)).alias("checksum"))
 

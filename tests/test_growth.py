@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF
 
-from rasterloom.operators import resample
+from rasterloom.operators import normalize, resample
 from rasterloom.queries import QUERIES
 
 
@@ -33,3 +33,15 @@ def test_overlaps_of_images_in_one_piece_are_dealt_out(spark):
                     if w > 0:
                         want.append((k is None, k, axis, src, out, w))
     assert sorted(((r[0] is None, *r) for r in found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_texts_in_one_piece_are_dealt_out_and_unpacked_by_compiled_columns(spark):
+    plan = plan_of(QUERIES["normalize_gray_packed"](spark, SF))
+    assert "RepartitionByExpression" in plan and "lambda" not in plan and "Union" not in plan
+
+
+def test_packed_rows_end_at_their_width(spark):
+    given = [(1, [0b10110001, 0b01000000], 11, 1), (2, [0b10110001], 3, 2), (3, [0xAB, 0xC0], 3, 4), (4, [], 0, 1), (5, None, None, 1)]
+    rows = normalize.unpack_rows(spark.createDataFrame(given, "id long, packed array<int>, width long, bits long"), ["id"], "packed", "width", "bits")
+    want = [(i, x, packed[x * bits // 8] >> (8 - bits - x * bits % 8) & ((1 << bits) - 1)) for i, packed, width, bits in given for x in range(width or 0)]
+    assert sorted(map(tuple, rows.collect())) == want
