@@ -689,15 +689,15 @@ def stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows_ = decode_rows(emb_images(spark, sf_dir, 50)).select(F.col("path").alias("image_id"), "y", "rgba", *[F.lit(v).alias(n) for n, v in (("width", 64), ("height", 50), ("fit", "contain"), ("out_width", 32), ("out_height", 25))])
     folder = _folder(spark, "rows")
-    rows_.where("y < 23").coalesce(1).write.parquet(folder)
-    rows_.where("y >= 23").coalesce(1).write.mode("append").parquet(folder)
     no_data = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     try:
-        # One file a trigger; the two were written one after the other, and files are taken in order of time.
-        stream = spark.readStream.schema(rows_.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-        q = resample_rows(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}-state").option("path", f"{folder}-out").trigger(availableNow=True).start()
-        q.awaitTermination()
+        # The stream runs once after each half, over however many files its tasks wrote; the second run goes on from the state of the first.
+        for half in ("y < 23", "y >= 23"):
+            rows_.where(half).write.mode("append").parquet(folder)
+            stream = spark.readStream.schema(rows_.schema).parquet(folder)
+            q = resample_rows(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}-state").option("path", f"{folder}-out").trigger(availableNow=True).start()
+            q.awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", no_data)
     done = spark.read.schema(OUTPUT).parquet(f"{folder}-out").where("error_kind IS NULL").select(F.struct("image_id", "oy").alias("k"), F.lit(0).alias("y"), "rgba")

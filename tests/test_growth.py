@@ -1,10 +1,11 @@
 """Steps whose cost must grow no faster than the input: what their plans and tasks do."""
 
 import pytest
-from conftest import SF
+from conftest import SF, same
 
+from rasterloom import queries
 from rasterloom.operators import normalize, resample
-from rasterloom.queries import QUERIES
+from rasterloom.queries import QUERIES, SQL
 
 
 def plan_of(df):
@@ -45,3 +46,15 @@ def test_packed_rows_end_at_their_width(spark):
     rows = normalize.unpack_rows(spark.createDataFrame(given, "id long, packed array<int>, width long, bits long"), ["id"], "packed", "width", "bits")
     want = [(i, x, packed[x * bits // 8] >> (8 - bits - x * bits % 8) & ((1 << bits) - 1)) for i, packed, width, bits in given for x in range(width or 0)]
     assert sorted(map(tuple, rows.collect())) == want
+
+
+def test_row_stream_is_fed_by_many_tasks_over_two_batches(spark, duck, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "_folder", lambda spark, kind: str(tmp_path / kind))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = QUERIES["stream_rows"](spark, SF)
+        assert same(got, duck.sql(SQL["stream_rows"]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "rows").glob("part-*"))) > 2
+    assert sorted(p.name for p in (tmp_path / "rows-state" / "commits").glob("[0-9]*")) == ["0", "1"]
